@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +14,26 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they may lack it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_treequill_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(), "treequill.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        out.write(file, os.path.relpath(file, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc._treequill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

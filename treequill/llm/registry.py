@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from treequill.llm import mixing, quality_rules, sharding, urls
+from treequill.llm import mixing, ngram_join, quality_rules, sharding, substring_dedup, urls
 
 
 def queries() -> dict:
     return {
+        "op4_rlz_substring_dedup": substring_dedup.op4_rlz_substring_dedup,
         "op5_pfair_mix": mixing.op5_pfair_mix,
         "op6_bloom_url_filter": urls.op6_bloom_url_filter,
         "op8_hash_tree_shards": sharding.op8_hash_tree_shards,
         "op9_rule_cascade": quality_rules.op9_rule_cascade,
+        "op10_chosen_path_join": ngram_join.op10_chosen_path_join,
     }
 
 
