@@ -54,8 +54,9 @@ class Chunk:
 
     first: int
     rows: int
-    #: Word i is data[start[i]:end[i]]; row r (from 0) has the words bounds[r] to bounds[r + 1] - 1.
+    #: Row r (from 0) has the bytes data[offsets[r]:offsets[r + 1]] and the words bounds[r] to bounds[r + 1] - 1; word i is data[start[i]:end[i]].
     data: np.ndarray
+    offsets: np.ndarray
     start: np.ndarray
     end: np.ndarray
     bounds: np.ndarray
@@ -129,7 +130,7 @@ def _chunk(data: np.ndarray, offs: np.ndarray, first: int) -> Chunk:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     hashes = mix((sums[end] - sums[start]) * down[start])
-    return Chunk(first, rows, data, start, end, bounds.astype(np.int64), hashes)
+    return Chunk(first, rows, data, offs, start, end, bounds.astype(np.int64), hashes)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
