@@ -387,5 +387,20 @@ def _verify(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     return links, found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: of each class of linked rows the one with the least doc_id.
+
+    All columns are kept, and so are rows with a null doc_id. Of rows that repeat
+    a doc_id one stays.
+    """
+    joined = join(docs.select("doc_id", "text"), **options)
+    chosen = cut(joined.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    ids = chosen.select(F.col("doc_id").alias("_id"))
+    kept = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
+
+
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -229,6 +229,18 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of ``docs`` (with a column text) that score 0.5 or more, all columns unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [logistic(machine.margins(*vectors(c))) for c in textvec.chunks(textvec.column(batch, "text"))]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -25,7 +25,7 @@ costs a block one row for each map task, and no group is ever gathered.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -143,8 +143,8 @@ def _window_rows(window: int, seed: int):
     return run
 
 
-def _verdict_rows(window: int, seed: int):
-    """Factors and digests of each row."""
+def _verdict_rows(window: int, seed: int, keep: list[str]):
+    """Factors, digests and what is left of each row, with its columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +156,9 @@ def _verdict_rows(window: int, seed: int):
                     tags = _tag(copies - chunk.bounds[rows], chunk.grams(window)[copies])
                     copies = copies[~_member(rows, tags, *_per_row(chunk, *first_lists))]
                 out = _factor(chunk, copies, window)
-                cols = [ids.slice(chunk.first, chunk.rows), *out]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
+                kept = [textvec.column(batch, f"keep_{i}").slice(chunk.first, chunk.rows) for i in range(len(keep))]
+                names = ["doc_id", *(f"keep_{i}" for i in range(len(keep))), "n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
+                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.rows), *kept, *out], names=names)
 
     return run
 
@@ -177,33 +178,37 @@ def _factor(chunk: textvec.Chunk, copies: np.ndarray, window: int) -> list[pa.Ar
     for r in range(chunk.rows):
         a, b = int(chunk.bounds[r]), int(chunk.bounds[r + 1])
         words = raw[chunk.start[a] : chunk.end[b - 1]].split() if b > a else []
-        found = []
+        found, left = [], raw[chunk.offsets[r] : chunk.offsets[r + 1]]
         if removed[r]:
             mask = gone[a:b]
             words = list(compress(words, (~mask).tolist()))
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
             found = [{"start": int(x), "length": int(y - x)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
-        kept = b" ".join(words)
-        texts.append(kept)
-        digests.append(hashlib.sha256(kept).hexdigest())
+            # A factor goes with the space behind it.
+            stops = [int(chunk.offsets[r]), *(int(chunk.start[a + e]) if a + e < b else int(chunk.offsets[r + 1]) for e in edges), int(chunk.offsets[r + 1])]
+            left = b"".join(raw[x:y] for x, y in zip(stops[::2], stops[1::2], strict=True))
+        texts.append(left)
+        digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         spans.append(found)
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     return [pa.array(lens.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, span)]
 
 
-def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, spans) of each row of ``docs`` (doc_id, text; others are ignored).
 
     ``spans`` are the copy factors as (start word, length); ``kept_text`` is the
-    other words joined by one space. Null and empty texts have no words, and no
+    text without them, and the digest is of its words joined by one space. The
+    columns ``keep`` of ``docs`` follow doc_id as ``keep_0`` and so on: no name clashes. Null and empty texts have no words, and no
     text shorter than a window loses any. Where rows repeat a doc_id, equal
     windows at equal places are one window, so exact repeats keep what the first
     keeps. Rows with a null doc_id count as one document after all others. Empty tables give no rows.
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    anchors = texts.mapInArrow(_anchor_rows(window, seed), "anchor long, doc_id long")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    kept = "".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc_id long")
     counted = anchors.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     singles = counted.where("n = 1").groupBy("doc_id").agg(F.collect_list("anchor").alias("singles"))
     known = texts.join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
@@ -211,7 +216,7 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     first = indexed.groupBy("w1", "w2").agg(F.min_by("tag", "doc_id").alias("tag"), F.min("doc_id").alias("doc_id"))
     firsts = first.groupBy("doc_id").agg(F.collect_list("tag").alias("firsts"))
     judged = known.join(firsts.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    out = judged.mapInArrow(_verdict_rows(window, seed), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,length:int>>")
+    out = judged.mapInArrow(_verdict_rows(window, seed, list(keep)), f"doc_id long, {kept}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,length:int>>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
