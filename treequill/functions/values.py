@@ -359,11 +359,15 @@ def value_compare(op: str, a: Val, b: Val) -> Val:
 
 
 def _pair(op: str, a: Val, b: Val) -> str:
-    """One pair of a general comparison: untyped operands take the other's type, and what has no operator doesn't match."""
+    """One pair of a general comparison: untyped operands take the other's type, and what has no operator doesn't match.
+
+    Neither does untyped text that isn't in the other's lexical space: Spark may
+    test a comparison on nodes that another condition rules out, so it can't raise.
+    """
     if a.type == "untyped" and b.type != "untyped":
-        a = cast(a, "double" if b.type in NUMERIC else "string" if b.type in TEXTUAL else b.type)
+        a = cast(a, "double" if b.type in NUMERIC else "string" if b.type in TEXTUAL else b.type, True)
     elif b.type == "untyped" and a.type != "untyped":
-        b = cast(b, "double" if a.type in NUMERIC else "string" if a.type in TEXTUAL else a.type)
+        b = cast(b, "double" if a.type in NUMERIC else "string" if a.type in TEXTUAL else a.type, True)
     try:
         return compare(op, a, b)
     except XPathError:

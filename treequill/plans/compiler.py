@@ -7,8 +7,8 @@ step of a path is a predicate between two node aliases.
 
 A path is a relation; everything else is an expression in some relation's row.
 Where an expression holds a path, the path becomes a correlated subquery:
-EXISTS for tests, an aggregate for aggregates, an array for what else takes a
-sequence. Catalyst turns them into semi and anti joins and grouped joins, so
+EXISTS for tests, a lateral aggregate for aggregates, a lateral array for what
+else takes a sequence. Catalyst turns them into semi and anti joins and grouped joins, so
 quantifiers, nested loops and correlated sums never run row by row. Paths that
 only test nothing and read nothing cost nothing: unread columns are pruned.
 """
@@ -137,6 +137,25 @@ def _uses_position(e: object) -> bool:
 class Compiler:
     def __init__(self, static: Static) -> None:
         self.static = static
+        #: Lateral subqueries that the expressions being compiled need beside their row, innermost row last.
+        self.beside: list[list[str]] = []
+
+    def lateral(self, sql: str) -> str | None:
+        """The name of the one value of a subquery as a column beside the current row; None outside of any."""
+        if not self.beside:
+            return None
+        alias = fresh("h")
+        self.beside[-1].append(f"LATERAL ({sql}) {alias}")
+        return f"{alias}.v"
+
+    def with_beside(self, rel: Rel, compile_) -> tuple[Rel, Val]:
+        """What ``compile_`` makes in the rows of ``rel``, and ``rel`` with what that needs beside them."""
+        self.beside.append([])
+        try:
+            value = compile_()
+        finally:
+            needed = self.beside.pop()
+        return (replace(rel, frm=(*rel.frm, *needed)) if needed else rel), value
 
     # Relations.
 
@@ -231,7 +250,8 @@ class Compiler:
                 if found is None:
                     raise XPathError("XPTY0019", "a step from a node must find nodes")
                 return found
-            return self.computed(rel, self.value(step, inner))
+            rel, value = self.with_beside(rel, lambda: self.value(step, inner))
+            return self.computed(rel, value)
         if isinstance(item, Row):
             value = self.column(item, step)
             if isinstance(value, Row):
@@ -346,7 +366,10 @@ class Compiler:
             base = self.numbered(base, p, place, group, keep=f"{item.alias}.doc AS cdoc, {item.alias}.pre AS cpre")
             group = f"PARTITION BY {alias}.cdoc, {alias}.cpre"
             item = Node(alias)
-        return replace(base, frm=(f"({base.sql(f'DISTINCT {alias}.* EXCEPT (cdoc, cpre, _pos, _last)')}) {alias}",), where=())
+        # A node that several context nodes select is found once.
+        out = fresh("n")
+        met = f"{alias}.doc = {out}.doc AND {alias}.pre = {out}.pre"
+        return Rel((f"`{self.static.nodes}` {out}",), (f"EXISTS ({base.also(met).sql('1')})",), Node(out), (f"{out}.doc", f"{out}.pre"), step.axis in REVERSE)
 
     def by_id(self, e: A.Call, place: Place) -> Rel:
         wanted = self.value(e.args[0], replace(place, where=False))
@@ -370,11 +393,11 @@ class Compiler:
                 rel = self.at_position(rel, p, place)
                 continue
             inner = replace(place, item=rel.item, where=True)
-            value = self.value(p, inner)
+            wider, value = self.with_beside(rel, lambda p=p, inner=inner: self.value(p, inner))  # type: ignore[misc]
             if value.type in NUMERIC and not value.node:
                 rel = self.at_position(rel, p, place)
             else:
-                rel = rel.also(ebv(value))
+                rel = wider.also(ebv(value))
         return rel
 
     def at_position(self, rel: Rel, p: A.Expr, place: Place) -> Rel:
@@ -423,7 +446,7 @@ class Compiler:
         select += (f", {keep}" if keep else "") + f", row_number() OVER ({group} ORDER BY {order}) AS _pos, {last} AS _last"
         out = Rel((f"({rel.sql(select)}) {alias}",), (), new, kept_order, rel.reverse)
         position, total = integer(f"cast({alias}._pos as bigint)"), integer(f"{alias}._last")
-        value = self.value(p, replace(place, item=new, position=position, last=total, where=True))
+        out, value = self.with_beside(out, lambda: self.value(p, replace(place, item=new, position=position, last=total, where=True)))
         if value.type in NUMERIC and not value.node:
             return out.also(f"coalesce({alias}._pos = {value.sql}, false)")
         return out.also(ebv(value))
@@ -553,15 +576,16 @@ class Compiler:
             return None
         rel = Rel(tuple(frm), tuple(where), EMPTY, tuple(order))
         if isinstance(e.body, A.Sequence) and len(e.body.items) > 1:
-            members = tuple(one(self.value(x, inner)) for x in e.body.items)
-            out = self.computed(rel, sequences.together(list(members)))
+            rel, members = self.with_beside(rel, lambda: tuple(one(self.value(x, inner)) for x in e.body.items))  # type: ignore[assignment]
+            out = self.computed(rel, sequences.together(list(members)))  # type: ignore[arg-type]
             return replace(out, members=members)
         body = self.relation(e.body, inner)
         if body is not None:
             return replace(body, frm=(*rel.frm, *body.frm), where=(*rel.where, *body.where), order=(*rel.order, *body.order))
         if isinstance(e.body, A.Var) and isinstance(inner.vars.get(e.body.name), Row | Node):
             return replace(rel, item=inner.vars[e.body.name])
-        return self.computed(rel, self.value(e.body, inner))
+        rel, value = self.with_beside(rel, lambda: self.value(e.body, inner))
+        return self.computed(rel, value)
 
     def grouping(self, e: A.For, place: Place) -> Rel | None:
         """``for $k in distinct-values(P/c) return f(agg(P[c = $k]/x))`` is one GROUP BY, if all paths of the body are such."""
@@ -706,11 +730,11 @@ class Compiler:
             inner = inner.bind(name, rel.item)
         if exists_ and wraps:
             raise XPathError("XPST0003", "a quantifier binds paths or sequences, not both")
-        test = ebv(self.value(e.test, inner if exists_ else replace(inner, where=False)))
         if exists_:
-            test = f"NOT ({test})" if e.every else test
-            found = self.any(Rel(tuple(frm), (*where, test), EMPTY), place)
+            rel, value = self.with_beside(Rel(tuple(frm), tuple(where), EMPTY), lambda: self.value(e.test, inner))
+            found = self.any(rel.also(f"NOT ({ebv(value)})" if e.every else ebv(value)), place)
             return boolean(f"(NOT {found})" if e.every else found)
+        test = ebv(self.value(e.test, replace(inner, where=False)))
         for items, x in reversed(wraps):
             test = f"coalesce({'forall' if e.every else 'exists'}({items}, {x} -> {test}), {'true' if e.every else 'false'})"
         return boolean(test)
@@ -900,10 +924,10 @@ class Compiler:
         """The relation's items as an array, in document order."""
         value = self.atom(rel)
         keys = ", ".join(f"{o} AS o{i}" for i, o in enumerate(rel.order))
-        if not keys:
-            return replace(value, sql=f"coalesce(({rel.sql(f'collect_list({value.sql})')}), array())", seq=True)
         x = fresh()
-        return replace(value, sql=f"coalesce(({rel.sql(f'transform(array_sort(collect_list(struct({keys}, {value.sql} AS v))), {x} -> {x}.v)')}), array())", seq=True)
+        items = f"transform(array_sort(collect_list(struct({keys}, {value.sql} AS v))), {x} -> {x}.v)" if keys else f"collect_list({value.sql})"
+        found = self.lateral(rel.sql(f"{items} AS v")) or f"({rel.sql(items)})"
+        return replace(value, sql=f"coalesce({found}, array())", seq=True)
 
     # Calls.
 
@@ -943,11 +967,15 @@ class Compiler:
             joined = self.gathered(replace(rel, item=string(as_text(value))))
             return strings.string_join(joined, self.value(e.args[1], place))
         out = self.aggregate(name, value)
+        missing = "null"
         if name == "sum" and len(e.args) == 2:
             zero = self.value(e.args[1], place)
-            total = rel.sql(f"if(count(1) = 0, null, {out.sql})")
-            return replace(out, sql=f"coalesce(({total}), {zero.sql if zero.type != 'empty' else 'null'})")
-        return replace(out, sql=f"({rel.sql(out.sql)})" if name != "count" and name != "sum" else f"coalesce(({rel.sql(out.sql)}), 0)")
+            out = replace(out, sql=f"if(count(1) = 0, null, {out.sql})")
+            missing = zero.sql if zero.type != "empty" else "null"
+        elif name in ("count", "sum"):
+            missing = f"cast(0 as {SQL_OF[out.type]})"
+        found = self.lateral(rel.sql(f"{out.sql} AS v")) or f"({rel.sql(out.sql)})"
+        return replace(out, sql=found if missing == "null" else f"coalesce({found}, {missing})")
 
     def _node_argument(self, e: A.Call, place: Place, at: int = 0) -> A.Expr:
         return e.args[at] if len(e.args) > at else A.Context()
@@ -1052,4 +1080,7 @@ def compiled(text: str, static: Static) -> tuple[Compiler, Rel | Val]:
     compiler, tree = Compiler(static), parse(text, static.mode)
     place = Place(static, vars=dict(static.variables))
     rel = compiler.relation(tree, place)
-    return compiler, rel if rel is not None else compiler.value(tree, place)
+    if rel is not None:
+        return compiler, rel
+    rel, value = compiler.with_beside(Rel(("(SELECT 1)",), (), EMPTY), lambda: compiler.value(tree, place))
+    return compiler, replace(rel, item=value) if len(rel.frm) > 1 else value

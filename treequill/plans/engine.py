@@ -80,6 +80,9 @@ class Engine:
     def sql(self, text: str, columns: Sequence[str] = (), ordered: bool = False) -> str:
         """The SQL of an expression. ``columns`` name the members of the sequence that a loop returns, one column each."""
         compiler, plan = compiled(text, self.static)
+        if isinstance(plan, Rel) and plan.frm[0] == "(SELECT 1)" and isinstance(plan.item, Val):
+            found = f"explode({plan.item.sql})" if plan.item.seq else self._out(plan.item)
+            return f"SELECT item FROM ({plan.sql(f'{found} AS item')}) WHERE item IS NOT NULL"
         if isinstance(plan, Val):
             if plan.seq:
                 return f"SELECT explode({plan.sql}) AS item"
