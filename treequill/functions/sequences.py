@@ -7,7 +7,7 @@ from dataclasses import replace
 from treequill.functions.registry import function
 from treequill.functions.strings import cast_items, collation
 from treequill.functions.values import (
-    EMPTY, NUMERIC, SQL_OF, TEXTUAL, Val, arithmetic, as_double, boolean, cast, compare, ebv, error, fresh, general_compare, integer, items_of, number, one,
+    EMPTY, NUMERIC, SQL_OF, TEXTUAL, Val, arithmetic, as_double, boolean, cast, compare, ebv, error, fresh, general_compare, integer, items_of, number,
 )
 from treequill.xpath.errors import XPathError
 
@@ -304,5 +304,3 @@ def max_(v: Val, *rest: Val) -> Val:
     return _extreme(v, "max")
 
 
-def single(v: Val) -> Val:
-    return one(v)

@@ -46,6 +46,8 @@ class Val:
     secs: str | None = None
     #: The value, if it is a literal.
     const: object = None
+    #: Of a boolean: SQL that is true where the value is, but may be null where it is false. Joins and pushed filters see its parts.
+    bare: str | None = None
 
 
 EMPTY = Val("cast(null as string)", "empty")
@@ -306,6 +308,13 @@ def ebv(v: Val) -> str:
     raise XPathError("FORG0006", f"no boolean value of {v.type}")
 
 
+def truth(v: Val) -> str:
+    """SQL for a WHERE clause, which takes null for false."""
+    if v.type == "boolean" and not v.seq and not v.node:
+        return v.bare or v.sql
+    return ebv(v)
+
+
 # Comparison.
 
 _OPS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
@@ -379,7 +388,8 @@ def general_compare(op: str, a: Val, b: Val) -> Val:
     if a.type == "empty" or b.type == "empty":
         return boolean("false")
     if not a.seq and not b.seq:
-        return boolean(f"coalesce({_pair(op, a, b)}, false)")
+        bare = _pair(op, a, b)
+        return Val(f"coalesce({bare}, false)", "boolean", bare=bare)
     x, y = fresh(), fresh()
     left = replace(a, sql=x, seq=False) if a.seq else a
     right = replace(b, sql=y, seq=False) if b.seq else b

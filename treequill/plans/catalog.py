@@ -11,8 +11,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treequill.operators import facets, identity
+from treequill.operators import content, facets, identity
+from treequill.plans import lineage
 from treequill.plans.engine import Engine
+from treequill.sources import shred
+from treequill.xsd.schema import compile_schema
+from treequill.xsd.validate import validate
 
 #: The columns that give each table's document order.
 ORDER = {
@@ -101,13 +105,13 @@ XPATH: dict[str, tuple[str, tuple[str, ...], str]] = {
         "SELECT event_id AS k, trunc(value)::BIGINT AS i, user_id::VARCHAR AS s, user_id <> 0 AS b FROM events"),
     "castable": (of("/conversations/row", "$r/conv_id", "$r/turn", "$r/text castable as xs:integer", "substring($r/text, 1, 1) castable as xs:double"), ("k", "t", "i", "d"),
         r"SELECT conv_id AS k, turn AS t, coalesce(regexp_full_match(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[+-]?[0-9]+'), false) AS i, coalesce(regexp_full_match(trim(substr(text, 1, 1), ' ' || chr(9) || chr(10) || chr(13)), '[0-9]'), false) AS d FROM conversations"),
+    "assertion": (f"{LINES}[not(l_quantity * 2000 >= l_extendedprice)]/l_extendedprice", ("price",), "SELECT l_extendedprice AS price FROM lineitem WHERE NOT l_quantity * 2000 >= l_extendedprice"),
+    "cta": (of(EVENTS, "$r/event_id", "if ($r/event_type = 'click') then 'ClickType' else if (starts-with($r/event_type, 'p')) then 'PType' else 'EventType'"), ("k", "type"),
+        "SELECT event_id AS k, CASE WHEN event_type = 'click' THEN 'ClickType' WHEN starts_with(event_type, 'p') THEN 'PType' ELSE 'EventType' END AS type FROM events"),
     "instance_of": (of("/region/row", "$r/r_regionkey", "data($r/r_regionkey) instance of xs:integer", "data($r/r_name) instance of xs:decimal", "$r/r_name instance of element()"), ("k", "a", "b", "c"),
         "SELECT r_regionkey::BIGINT AS k, true AS a, false AS b, true AS c FROM region"),
 }
 
-_TEXTS = ("$r/doc_id",)
-
-
 def _fn(expr: str, sql: str, path: str = DOCS, key: str = "$r/doc_id", table: str = "documents", key_sql: str = "doc_id") -> tuple[str, tuple[str, ...], str]:
     """A query that applies one function to each row of a table."""
     return of(path, key, expr), ("k", "v"), f"SELECT {key_sql} AS k, {sql} AS v FROM {table}"
@@ -269,10 +273,75 @@ SCHEMA = {
 }
 
 
+# Node tables.
+
+ROW_SCHEMA = """
+<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+  <xs:element name="row" type="Order"/>
+  <xs:complexType name="Order">
+    <xs:sequence>
+      <xs:element name="o_orderkey" type="xs:nonNegativeInteger"/>
+      <xs:element name="o_custkey" type="xs:int"/>
+      <xs:element name="o_orderstatus"><xs:simpleType><xs:restriction base="xs:token"><xs:enumeration value="O"/><xs:enumeration value="F"/></xs:restriction></xs:simpleType></xs:element>
+      <xs:element name="o_totalprice"><xs:simpleType><xs:restriction base="xs:decimal"><xs:maxInclusive value="300000"/></xs:restriction></xs:simpleType></xs:element>
+    </xs:sequence>
+  </xs:complexType>
+</xs:schema>
+"""
+
+
+def _customers(spark: SparkSession, d: str) -> Engine:
+    """An engine over an XML document of each customer."""
+    return Engine(spark).nodes(shred.shred(shred.from_rows(_read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")))
+
+
+def _shredded(spark: SparkSession, d: str) -> DataFrame:
+    nodes = shred.shred(shred.from_rows(_read(spark, d, "part"), "p_partkey"))
+    return nodes.where("kind = 'element'").groupBy("local").agg(F.count(F.lit(1)).alias("n"), F.max("post").cast("long").alias("last"))
+
+
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes on each axis from the element c_nationkey, over all documents."""
+    engine, out = _customers(spark, d), None
+    for axis in ("child", "descendant", "self", "descendant-or-self", "following-sibling", "following", "parent", "ancestor", "preceding-sibling", "preceding", "ancestor-or-self"):
+        found = engine.query(f"count(//c_nationkey/{axis}::node())").select(F.lit(axis).alias("axis"), F.col("item").alias("n"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _malformed(spark: SparkSession, d: str) -> DataFrame:
+    return shred.errors(shred.shred(_read(spark, d, "pages"), "page_id", "html")).select(F.col("doc").alias("page_id"))
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12, 2)").alias("o_totalprice"))
+    nodes = lineage.cut(shred.shred(shred.from_rows(rows, "o_orderkey")))
+    return validate(spark, nodes, compile_schema(ROW_SCHEMA)).violations.select(F.col("doc").alias("o_orderkey"), "path", "code")
+
+
+def _content(spark: SparkSession, d: str) -> DataFrame:
+    model = content.Model.sequence(content.Model.element("F").occurs(1, None), content.Model.element("O").occurs(0, None))
+    rows = _read(spark, d, "lineitem").withColumn("status", F.col("l_linestatus"))
+    return content.unmatched(rows, "l_orderkey", ["l_linenumber", "l_linestatus"], "status", model)
+
+
+NODES = {
+    "shred_roundtrip": (_shredded, "SELECT l AS local, (SELECT count(*) FROM part) AS n, p::BIGINT AS last FROM (VALUES ('row', 13), ('p_partkey', 3), ('p_name', 5), ('p_brand', 7), ('p_type', 9), ('p_size', 11), ('p_retailprice', 13)) t(l, p)"),
+    "axes": (_axes, "SELECT a AS axis, m * (SELECT count(*) FROM customer) AS n FROM (VALUES ('child', 1), ('descendant', 1), ('self', 1), ('descendant-or-self', 2), ('following-sibling', 1), ('following', 2), ('parent', 1), ('ancestor', 2), ('preceding-sibling', 2), ('preceding', 4), ('ancestor-or-self', 3)) t(a, m)"),
+    "node_predicate": (lambda spark, d: _customers(spark, d).query("/row[c_mktsegment = 'BUILDING']/c_name").select(F.col("doc").alias("c_custkey"), "value"), "SELECT c_custkey, c_name AS value FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "node_numeric_predicate": (lambda spark, d: _customers(spark, d).query("//c_nationkey[. >= 20]/..").select(F.col("doc").alias("c_custkey")), "SELECT c_custkey FROM customer WHERE c_nationkey >= 20"),
+    "node_set_operations": (lambda spark, d: _customers(spark, d).query("//row[c_nationkey < 5] except //row[c_mktsegment = 'BUILDING']").select(F.col("doc").alias("c_custkey")), "SELECT c_custkey FROM customer WHERE c_nationkey < 5 AND c_mktsegment <> 'BUILDING'"),
+    "node_return": (lambda spark, d: _customers(spark, d).query("for $r in //row return concat($r/c_name, '|', $r/c_mktsegment, '|', count($r/*))").select(F.col("item").alias("v")), "SELECT c_name || '|' || c_mktsegment || '|4' AS v FROM customer"),
+    "malformed": (_malformed, "SELECT page_id FROM pages"),
+    "xsd_validate": (_validated, "SELECT o_orderkey, '/row/o_orderstatus' AS path, 'cvc-enumeration-valid' AS code FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT o_orderkey, '/row/o_totalprice', 'cvc-maxInclusive-valid' FROM orders WHERE o_totalprice > 300000"),
+    "content_model": (_content, "SELECT l_orderkey, count(*) AS n, 'cvc-complex-type.2.4' AS code FROM lineitem GROUP BY 1 HAVING NOT regexp_full_match(string_agg(l_linestatus, '' ORDER BY l_linenumber, l_linestatus), 'F+O*')"),
+}
+
+
 def queries() -> dict:
     out = {name: _xpath(expression, columns) for name, (expression, columns, _) in {**XPATH, **FUNCTIONS}.items()}
-    return out | {name: run for name, (run, _) in SCHEMA.items()}
+    return out | {name: run for name, (run, _) in {**SCHEMA, **NODES}.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, _, sql) in {**XPATH, **FUNCTIONS}.items()} | {name: sql for name, (_, sql) in SCHEMA.items()}
+    return {name: sql for name, (_, _, sql) in {**XPATH, **FUNCTIONS}.items()} | {name: sql for name, (_, sql) in {**SCHEMA, **NODES}.items()}

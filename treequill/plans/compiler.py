@@ -20,8 +20,8 @@ from dataclasses import dataclass, field, replace
 from treequill.functions import datetimes, sequences, strings  # noqa: F401  (they register functions)
 from treequill.functions.registry import Catalog
 from treequill.functions.values import (
-    EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, cast, castable, ebv, error, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
-    text_literal, value_compare, as_text,
+    EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, cast, castable, ebv, error, first, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
+    text_literal, truth, value_compare, as_text,
 )
 from treequill.types import lexical
 from treequill.xpath import ast as A
@@ -397,7 +397,7 @@ class Compiler:
             if value.type in NUMERIC and not value.node:
                 rel = self.at_position(rel, p, place)
             else:
-                rel = wider.also(ebv(value))
+                rel = wider.also(truth(value))
         return rel
 
     def at_position(self, rel: Rel, p: A.Expr, place: Place) -> Rel:
@@ -448,8 +448,8 @@ class Compiler:
         position, total = integer(f"cast({alias}._pos as bigint)"), integer(f"{alias}._last")
         out, value = self.with_beside(out, lambda: self.value(p, replace(place, item=new, position=position, last=total, where=True)))
         if value.type in NUMERIC and not value.node:
-            return out.also(f"coalesce({alias}._pos = {value.sql}, false)")
-        return out.also(ebv(value))
+            return out.also(f"{alias}._pos = {value.sql}")
+        return out.also(truth(value))
 
     # Operations on relations.
 
@@ -732,7 +732,7 @@ class Compiler:
             raise XPathError("XPST0003", "a quantifier binds paths or sequences, not both")
         if exists_:
             rel, value = self.with_beside(Rel(tuple(frm), tuple(where), EMPTY), lambda: self.value(e.test, inner))
-            found = self.any(rel.also(f"NOT ({ebv(value)})" if e.every else ebv(value)), place)
+            found = self.any(rel.also(f"NOT ({ebv(value)})" if e.every else truth(value)), place)
             return boolean(f"(NOT {found})" if e.every else found)
         test = ebv(self.value(e.test, replace(inner, where=False)))
         for items, x in reversed(wraps):
@@ -751,9 +751,12 @@ class Compiler:
 
     def v_Binary(self, e: A.Binary, place: Place) -> Val:
         if e.op in ("and", "or"):
-            a, b = (ebv(self.value(x, place)) for x in (e.left, e.right))
+            left, right = (self.value(x, place) for x in (e.left, e.right))
+            a, b = ebv(left), ebv(right)
             # The left side guards the right one's errors.
-            return boolean(f"(case when {a} then {b} else false end)" if e.op == "and" and "raise_error" in b else f"({a} {e.op} {b})")
+            if "raise_error" in b:
+                return boolean(f"(case when {a} then {b} else false end)" if e.op == "and" else f"(case when {a} then true else {b} end)")
+            return Val(f"({a} {e.op} {b})", "boolean", bare=f"({truth(left)} {e.op} {truth(right)})")
         if e.op in ("union", "|", "intersect", "except"):
             rel = self.relation(e, place)
             if rel is not None:
@@ -787,7 +790,7 @@ class Compiler:
         rels = [r for r in (left, right) if r is not None]
         a = self.atom(left) if left is not None else self.value(e.left, replace(place, where=False))
         b = self.atom(right) if right is not None else self.value(e.right, replace(place, where=False))
-        pair = general_compare(op, a, b).sql
+        pair = truth(general_compare(op, a, b))
         return boolean(self.any(Rel(tuple(f for r in rels for f in r.frm), (*(w for r in rels for w in r.where), pair), EMPTY), place))
 
     def node_compare(self, e: A.Binary, place: Place) -> Val:
@@ -954,7 +957,7 @@ class Compiler:
         found = self.static.catalog.find(e.name, len(e.args))
         args = [self.value(a, place) for a in e.args]
         if self.static.mode == "1.0":
-            args = [sequences.first(a) if name not in ("count", "sum") else a for a in args]
+            args = [first(a) if name not in ("count", "sum") else a for a in args]
         return found.build(place, *args) if found.needs == "context" else found.build(*args)
 
     def over(self, name: str, rel: Rel, e: A.Call, place: Place) -> Val:
