@@ -39,7 +39,7 @@ SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Paths remembered in each Python worker, and the longest stretch that is remembered. Beyond them paths are found anew.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 800_000, 40
 #: What a character costs a unigram path if it has no piece, over the worst piece.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
@@ -154,44 +154,80 @@ class Encoder(dict):
 
     def path(self, text: str) -> list[tuple[int, int]]:
         """(arc's id, end) of the arcs of the shortest path through ``text``; an arc without a piece has -2 - its character."""
+        return self._only_path(text) if self.model.kind == BPE else self._least_path(text)
+
+    def arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """The arcs from place ``i``, by rising length; the byte fallback stands in where the character has no piece."""
+        states, out = self.states, []
+        for j in range(i + 1, len(text) + 1):
+            found = states.get(text[i:j])
+            if found is None:
+                break
+            if found >= 0:
+                out.append((found, j))
+        if not out or out[0][1] != i + 1:
+            out.insert(0, (-2 - ord(text[i]), i + 1))
+        return out
+
+    def _only_path(self, text: str) -> list[tuple[int, int]]:
+        """With weights 0 and infinity any finite path is shortest, and there is one: found depth first, longest arcs first.
+
+        What leads to a place is unique, so a place that leads nowhere never needs a second visit.
+        """
+        n, apart = len(text), self.apart
+        path: list[tuple[int, int]] = []
+        open_: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        i, left, start = 0, -1, 0
+        while i < n:
+            rest = self.arcs(text, i)
+            while True:
+                step = None
+                while rest:
+                    found, j = rest.pop()
+                    if j in dead:
+                        continue
+                    if found >= 0 and left >= -1:
+                        key = ((left + 1) << 24) + found
+                        fits = apart.get(key)
+                        if fits is None:
+                            fits = self._judge(key, text[start:i], text[i:j])
+                    else:
+                        fits = self.follows(text[start:i], text[i:j])
+                    if fits:
+                        step = (found, j)
+                        break
+                if step is not None:
+                    break
+                # Back to the place before, for its next shorter arc.
+                dead.add(i)
+                path.pop()
+                rest = open_.pop()
+                i = path[-1][1] if path else 0
+                left = path[-1][0] if path else -1
+                start = path[-2][1] if len(path) > 1 else 0
+            open_.append(rest)
+            path.append(step)
+            start, i, left = i, step[1], step[0]
+        return path
+
+    def _least_path(self, text: str) -> list[tuple[int, int]]:
+        """The least sum of weights to each place, in order of place."""
         n = len(text)
         best = [INFINITE] * (n + 1)
         back = [0] * (n + 1)
         arc = [-1] * (n + 1)
         best[0] = 0.0
-        bpe, cost, states, apart = self.model.kind == BPE, self.cost, self.states, self.apart
         for i in range(n):
-            at = best[i]
-            if at == INFINITE:
-                continue
-            left = (arc[i] + 2_000_000) << 24
-            single = False
-            for j in range(i + 1, n + 1):
-                found = states.get(text[i:j])
-                if found is None:
-                    break
-                if found < 0:
-                    continue
-                if j == i + 1:
-                    single = True
-                if not bpe:
-                    if at + cost[found] < best[j]:
-                        best[j], back[j], arc[j] = at + cost[found], i, found
-                elif best[j]:
-                    fits = apart.get(left + found)
-                    if fits is None:
-                        fits = self._judge(left + found, text[back[i] : i], text[i:j])
-                    if fits:
-                        best[j], back[j], arc[j] = 0.0, i, found
-            if not single:
-                weight = at if bpe else at + self.unknown_cost
-                if weight < best[i + 1] and (not bpe or self.follows(text[back[i] : i], text[i])):
-                    best[i + 1], back[i + 1], arc[i + 1] = weight, i, -2 - ord(text[i])
-        arcs, j = [], n
+            for found, j in self.arcs(text, i):
+                weight = best[i] + (self.cost[found] if found >= 0 else self.unknown_cost)
+                if weight < best[j]:
+                    best[j], back[j], arc[j] = weight, i, found
+        out, j = [], n
         while j > 0:
-            arcs.append((arc[j], j))
+            out.append((arc[j], j))
             j = back[j]
-        return arcs[::-1]
+        return out[::-1]
 
     def _judge(self, key: int, left: str, right: str) -> bool:
         if len(self.apart) > REMEMBERED:
