@@ -404,3 +404,19 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + {SHINGLE - 1}], ' ') FOR i IN range(1, len(ws) - {SHINGLE - 2})] END) AS g FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y, k = p.n AND k = q.n AS equal FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 5 * k >= 4 * (p.n + q.n - k)
+    UNION ALL SELECT a.doc_id, b.doc_id, true FROM docs a JOIN docs b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.doc_id <> b.doc_id),
+reach(x, y) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+classes AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n_links, min(y) FILTER (WHERE equal) AS twin, count(*) FILTER (WHERE equal) AS twins FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS rep, class_id, coalesce(twins, 0) + 1 AS n_copies, coalesce(n_links, 0) AS n_links
+FROM docs JOIN classes c ON c.x = doc_id LEFT JOIN degrees d ON d.x = doc_id
+"""

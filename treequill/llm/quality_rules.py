@@ -159,3 +159,23 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAM
 
 def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WORDS_SQL = f"regexp_extract_all(coalesce(text, ''), '{WORD}+')"
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
+grams AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM docs)),
+twice AS (SELECT r, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (r, g), range(5) t(k) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{WORD}') GROUP BY r),
+facts AS (SELECT doc_id, text, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(w) FOR w IN ws]), 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len([i FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS stutter, length(text) - length(replace(text, chr(10), '')) AS breaks, length(text) - length(replace(text, '!', '')) AS shouts,
+    length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS capitals, length(text) - length(regexp_replace(text, '\\p{{L}}', '', 'g')) AS letters
+    FROM docs LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_dup_lines > 4 * (breaks + 1) OR 10 * shouts > 3 * n_words
+    OR 2 * capitals > word_chars OR 10 * letters < 4 * word_chars OR 10 * stutter > 3 * n_words) AS kept
+FROM judged
+"""
