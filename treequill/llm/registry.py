@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_merkle_fixity": fixity.ORACLE_SQL, "op5_pfair_mix": mixing.ORACLE_SQL, "op6_bloom_url_filter": urls.ORACLE_SQL}
+    return {
+        "op2_merkle_fixity": fixity.ORACLE_SQL,
+        "op4_rlz_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op5_pfair_mix": mixing.ORACLE_SQL,
+        "op6_bloom_url_filter": urls.ORACLE_SQL,
+        "op9_rule_cascade": quality_rules.ORACLE_SQL,
+        "op10_chosen_path_join": ngram_join.ORACLE_SQL,
+    }

@@ -14,7 +14,7 @@ The index of the reference is cut into blocks by hash, in two stages:
    anchor (a minimizer), so equal windows have equal anchors. A block counts the
    occurrences of each anchor. A window whose anchor occurs once in the corpus
    is a literal for certain; documents get the list of those anchors back.
-2. *Windows.* The other windows are indexed by a 128-bit hash of their words; a
+2. *Windows.* The other windows are indexed by a 96-bit hash of their words; a
    block answers the earliest place of each. A document gets back which of its
    windows are earliest; every other indexed window is a copy.
 
@@ -129,16 +129,16 @@ def _window_rows(window: int, seed: int):
                 rows, starts = _candidates(chunk, _per_row(chunk, offsets, values), window, seed)
                 if len(starts) == 0:
                     continue
-                one, two = chunk.grams(window)[starts], chunk.second_grams(window)[starts]
+                one, two = chunk.grams(window)[starts], (chunk.second_grams(window)[starts] >> np.uint64(32)).astype(np.uint32)
                 # Within a document only the earliest of equal windows can be the corpus's earliest.
                 order = np.lexsort((starts, two, one, rows))
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (np.diff(rows[order]) != 0) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
                 pick = np.sort(order[new])
                 rows, starts, one, two = rows[pick], starts[pick], one[pick], two[pick]
-                tags = _tag(starts - chunk.bounds[rows], one)
-                cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids.take(pa.array(rows + chunk.first)), pa.array(tags)]
-                yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "doc_id", "tag"])
+                places = (starts - chunk.bounds[rows]).astype(np.int32)
+                cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), ids.take(pa.array(rows + chunk.first)), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "doc_id", "place"])
 
     return run
 
@@ -212,13 +212,25 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     counted = anchors.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     singles = counted.where("n = 1").groupBy("doc_id").agg(F.collect_list("anchor").alias("singles"))
     known = texts.join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    indexed = known.mapInArrow(_window_rows(window, seed), "w1 long, w2 long, doc_id long, tag long")
-    first = indexed.groupBy("w1", "w2").agg(F.min_by("tag", "doc_id").alias("tag"), F.min("doc_id").alias("doc_id"))
-    firsts = first.groupBy("doc_id").agg(F.collect_list("tag").alias("firsts"))
+    indexed = known.mapInArrow(_window_rows(window, seed), "w1 long, w2 int, doc_id long, place int")
+    first = indexed.groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
+    tag = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF)))
+    firsts = first.select("doc_id", tag.alias("tag")).groupBy("doc_id").agg(F.collect_list("tag").alias("firsts"))
     judged = known.join(firsts.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     out = judged.mapInArrow(_verdict_rows(window, seed, list(keep)), f"doc_id long, {kept}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,length:int>>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
 def op4_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(table(spark, sf_dir, "documents")).drop("kept_text")
+    return parse(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM docs)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM grams) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, range({WINDOW}) t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+kept AS (SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS text FROM words w LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
