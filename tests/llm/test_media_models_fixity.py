@@ -79,14 +79,15 @@ def pages_of(spark, n):
 
 
 def test_audit_finds_exactly_the_damage(spark):
-    original = fixity.archive(pages_of(spark, 300), records=40).cache()
+    original = fixity.archive(pages_of(spark, 300), per_file=40).cache()
     rows = original.collect()
     for f in {r.warc_file for r in rows}:
         at = 0
         for r in sorted((r for r in rows if r.warc_file == f), key=lambda r: r.record_no):
             assert r.offset == at and r.length == len(r.bytes)
             at += r.length
-    copy = fixity.damaged(original, fixity.F.col("page_id").isin(3, 150, 299))
+    content = fixity.damaged(fixity.F.col("bytes"), fixity.F.col("page_id").isin(3, 150, 299))
+    copy = original.withColumn("bytes", content).withColumn("sha256", fixity.F.sha2("bytes", 256))
     got = fixity.report(original, copy, fanout=4).collect()
     assert len(got) == 304
     assert {r.page_id for r in got if not r.intact} == {3, 150, 299}
@@ -95,7 +96,7 @@ def test_audit_finds_exactly_the_damage(spark):
 
 
 def test_audit_of_equal_lost_and_empty_replicas(spark):
-    original = fixity.archive(pages_of(spark, 60), records=20).cache()
+    original = fixity.archive(pages_of(spark, 60), per_file=20).cache()
     assert fixity.audit(original, original, 4).count() == 0
     lost = original.where("not (warc_file = 1 and record_no >= 3)")
     want = original.where("warc_file = 1 and record_no >= 3").count()

@@ -31,24 +31,41 @@ def record(url: Column, body: Column, page_id: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def archive(pages: DataFrame, records: int = RECORDS) -> DataFrame:
-    """(page_id, warc_file, record_no, offset, length, bytes) of each row of ``pages`` (page_id, url, html; others are ignored).
+def records(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
+    """(page_id, warc_file, url, bytes, length) of the record of each row of ``pages`` (page_id, url, html; others are ignored).
 
-    Files are dealt by the hash of page_id and hold ``records`` rows on average;
-    records stand in order of page_id, then url, then bytes. Null page_ids share a file.
+    Files are dealt by the hash of page_id and hold ``per_file`` records on average. Null page_ids share a file.
     """
-    files = max(1, -(-pages.count() // records))
+    files = max(1, -(-pages.count() // per_file))
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("_url"), (number % files).alias("warc_file"), record(F.col("url"), F.col("html"), F.col("page_id")).alias("bytes"))
-    rows = rows.withColumn("length", F.octet_length("bytes").cast("long"))
-    inside = Window.partitionBy("warc_file").orderBy("page_id", "_url", "bytes")
+    rows = pages.select("page_id", (number % files).alias("warc_file"), F.coalesce("url", F.lit("")).alias("url"), record(F.col("url"), F.col("html"), F.col("page_id")).alias("bytes"))
+    return rows.withColumn("length", F.octet_length("bytes").cast("long"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of ``records`` with record_no and offset: a file's records stand in order of page_id, url, length and digest.
+
+    Only the columns of ``rows`` are exchanged, so rows that carry digests (see ``digested``) move no page.
+    """
+    inside = Window.partitionBy("warc_file").orderBy("page_id", "url", "length", "sha256")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"record_no": (F.row_number().over(inside) - 1).cast("long"), "offset": F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")}).drop("_url")
+    places = {"record_no": (F.row_number().over(inside) - 1).cast("long"), "offset": F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")}
+    return rows.withColumns(places).drop("url")
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    """Rows with ``sha256`` in place of ``bytes``."""
+    return rows.withColumn("sha256", F.sha2("bytes", 256)).drop("bytes")
+
+
+def archive(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
+    """(page_id, warc_file, bytes, length, sha256, record_no, offset) of each page's record in the archive's files."""
+    return placed(records(pages, per_file).withColumn("sha256", F.sha2("bytes", 256)))
 
 
 def leaves(replica: DataFrame) -> DataFrame:
-    """(grp, idx, hash) of a replica's records (warc_file, record_no, offset, length, bytes): the hash covers place and bytes."""
-    place = F.concat_ws(":", "offset", "length", F.sha2("bytes", 256))
+    """(grp, idx, hash) of a replica's records (warc_file, record_no, offset, length, sha256): the hash covers place and bytes."""
+    place = F.concat_ws(":", "offset", "length", "sha256")
     return replica.select(F.col("warc_file").alias("grp"), F.col("record_no").alias("idx"), F.sha2(place.cast("binary"), 256).alias("hash"))
 
 
@@ -108,20 +125,20 @@ def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return bad.select(F.col("grp").alias("warc_file"), F.col("idx").alias("record_no"))
 
 
-def damaged(replica: DataFrame, hit: Column) -> DataFrame:
-    """``replica`` with one byte changed in each record where ``hit`` holds: a stand-in for a copy that has rotted."""
-    at = (F.col("length") / 2).cast("int") + 1
-    byte = F.when(F.substring("bytes", at, F.lit(1)) == F.lit(bytearray(b"#")), F.lit(bytearray(b"*"))).otherwise(F.lit(bytearray(b"#")))
-    return replica.withColumn("bytes", F.when(hit, F.overlay("bytes", byte, at, F.lit(1))).otherwise(F.col("bytes")))
+def damaged(content: Column, hit: Column) -> Column:
+    """``content`` with one byte changed where ``hit`` holds: what a copy reads that has rotted."""
+    at = F.floor(F.octet_length(content) / 2).cast("int") + 1
+    byte = F.when(F.substring(content, at, F.lit(1)) == F.lit(bytearray(b"#")), F.lit(bytearray(b"*"))).otherwise(F.lit(bytearray(b"#")))
+    return F.when(hit, F.overlay(content, byte, at, F.lit(1))).otherwise(content)
 
 
 def report(original: DataFrame, copy: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(page_id, warc_file, record_no, offset, length, sha256, intact) of each record of ``original``: is it the same in ``copy``?
 
-    Both as ``archive`` gives them. Repeated rows are records of their own. Empty archives give no rows.
+    Both have digests and places, as ``archive`` gives them. Repeated rows are records of their own. Empty archives give no rows.
     """
     bad = audit(original, copy, fanout).select(F.col("warc_file").alias("_f"), F.col("record_no").alias("_r"))
-    rows = original.select("page_id", "warc_file", "record_no", "offset", "length", F.sha2("bytes", 256).alias("sha256"))
+    rows = original.select("page_id", "warc_file", "record_no", "offset", "length", "sha256")
     met = rows.join(bad, (F.col("warc_file") == F.col("_f")) & (F.col("record_no") == F.col("_r")), "left")
     return met.withColumn("intact", F.col("_f").isNull()).drop("_f", "_r")
 
@@ -131,8 +148,12 @@ ROT = "07"
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    original = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return report(original, damaged(original, F.md5(F.col("page_id").cast("string")).startswith(ROT)))
+    rows = records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    # Both replicas are read where the pages are; only digests and lengths are dealt to files.
+    rotten = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).startswith(ROT)
+    both = rows.withColumn("copy_sha256", F.sha2(damaged(F.col("bytes"), rotten), 256))
+    original = cut(placed(digested(both)))
+    return report(original.drop("copy_sha256"), original.withColumn("sha256", F.col("copy_sha256")).drop("copy_sha256"))
 
 
 ORACLE_SQL = f"""
@@ -142,7 +163,7 @@ made AS (SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT %
                 || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
                 || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS b FROM pages, files)
 SELECT page_id, warc_file, row_number() OVER w - 1 AS record_no,
-       coalesce(sum(octet_length(b)) OVER (PARTITION BY warc_file ORDER BY page_id, u, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+       coalesce(sum(octet_length(b)) OVER (PARTITION BY warc_file ORDER BY page_id, u, octet_length(b), sha256(b) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
        octet_length(b)::BIGINT AS length, sha256(b) AS sha256, NOT starts_with(md5(page_id::VARCHAR), '{ROT}') AS intact
-FROM made WINDOW w AS (PARTITION BY warc_file ORDER BY page_id, u, b)
+FROM made WINDOW w AS (PARTITION BY warc_file ORDER BY page_id, u, octet_length(b), sha256(b))
 """
