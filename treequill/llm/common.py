@@ -58,8 +58,8 @@ def number_within(df: DataFrame, lane: str, bucket: Column, order: list[Column],
 
     A window over a whole lane would put a hot lane in one task. Here each
     (lane, bucket) is numbered on its own and shifted by the rows of the
-    lane's earlier buckets; that table has at most lanes x ``buckets`` rows.
-    ``bucket`` must have at most ``buckets`` values, which sort as the order does.
+    lane's earlier buckets. The shifts join on the key that the numbering is
+    dealt by, so they cost no exchange of the rows beyond its own. ``bucket`` must have at most ``buckets`` values, which sort as the order does.
     """
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(lane, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -69,6 +69,6 @@ def number_within(df: DataFrame, lane: str, bucket: Column, order: list[Column],
         F.col("_bucket").alias("_b"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
     )
-    joined = df.join(F.broadcast(shifts), (F.col(lane) == F.col("_lane")) & (F.col("_bucket") == F.col("_b")))
+    joined = df.join(shifts, (F.col(lane) == F.col("_lane")) & (F.col("_bucket") == F.col("_b")))
     rank = F.row_number().over(Window.partitionBy(lane, "_bucket").orderBy(*order))
     return joined.withColumn(name, (F.col("_shift") + rank - 1).cast("long")).drop("_lane", "_b", "_shift", "_bucket")
