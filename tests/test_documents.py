@@ -111,6 +111,22 @@ def plan_of(tables, text, columns=()):
     return tables.query(text, columns)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_positions_are_numbered_in_stretches(spark):
+    e = Engine(spark).table("big", spark.range(5000).selectExpr("5000 - id as k", "id % 3 as g"), ["k"])
+    for text, want in (("/big/row[position() mod 1000 = 7]/k", [7, 1007, 2007, 3007, 4007]), ("/big/row[g = 1][position() mod 500 = 0]/k", None), ("/big/row[position() = last() - 1]/k", [4999]), ("/big/row[position() > 4998]/k", [4999, 5000])):
+        got = sorted(r[0] for r in e.query(text).collect())
+        want = want or sorted(k for k in range(1, 5001) if (5000 - k) % 3 == 1)[499::500]
+        assert got == want, text
+    plan = e.query("/big/row[position() mod 1000 = 7]/k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_stretch" in plan
+
+
+def test_deep_equality_of_nodes(spark):
+    docs = [(1, "<r><a y='1' x='2'>t<b/></a><a x='2' y='1'>t<!-- c --><b/></a><a x='2' y='1'>t<b>u</b></a></r>")]
+    e = Engine(spark).nodes(shred.shred(spark.createDataFrame(docs, "doc_id long, xml string")))
+    assert e.run_boolean("deep-equal(/r/a[1], /r/a[2])") and not e.run_boolean("deep-equal(/r/a[1], /r/a[3])") and not e.run_boolean("deep-equal(/r/a, /r/a[1])")
+
+
 def test_plans_are_joins_not_loops(tables):
     assert "LeftSemi" in plan_of(tables, "/dept/row[no = /emp/row/dept]/title")
     assert "LeftAnti" in plan_of(tables, "/dept/row[not(no = /emp/row/dept)]/title")

@@ -181,3 +181,20 @@ def test_stream(spark, tmp_path):
     counted = streaming.nodes(stream).writeStream.format("memory").queryName("tq_nodes_test").trigger(availableNow=True).start()
     counted.awaitTermination(60)
     assert spark.table("tq_nodes_test").where("kind = 'element'").count() == 3
+
+
+def test_hinted_schemas_are_loaded(spark):
+    builder = X.Builder(loader={"n.xsd": '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="a" type="xs:int"/></xs:schema>'})
+    docs = spark.createDataFrame([(1, f"<a {XSI} xsi:noNamespaceSchemaLocation='n.xsd'>x</a>"), (2, f"<a {XSI} xsi:noNamespaceSchemaLocation='lost.xsd'>1</a>")], "doc_id long, xml string")
+    nodes = shred.shred(docs).cache()
+    assert [(r.doc, r.code) for r in V.validate(spark, nodes, V.enriched(nodes, builder)).violations.collect()] == [(1, "cvc-datatype-valid")]
+
+
+def test_typed_nodes_answer_type_tests(spark):
+    from treequill.plans.engine import Engine
+
+    nodes = shred.shred(spark.createDataFrame([(1, "<root xmlns='urn:t'><circle><r>2</r></circle><dot/></root>")], "doc_id long, xml string")).cache()
+    typed = V.typed_nodes(nodes, V.validate(spark, nodes, X.compile_schema(MAIN)))
+    engine = Engine(spark, default_namespace="urn:t").nodes(typed)
+    assert [r.local for r in engine.query("//element(*, Shape)", ordered=True).collect()] == ["circle", "dot"]
+    assert [r.local for r in engine.query("//element(*, Circle)").collect()] == ["circle"] and [r.local for r in engine.query("//element(*, decimal)").collect()] == ["r"]

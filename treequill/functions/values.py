@@ -424,8 +424,10 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         if op in "+-*":
             if kind == "decimal":
                 if op == "*":
-                    x, y = (f"cast({v.sql} as decimal({'19, 0' if v.type == 'integer' else '27, 9'}))" for v in (a, b))
-                    return Val(f"cast({x} * {y} as decimal(38, 18))", kind)
+                    # Operands of 9 places and few digits multiply without loss; larger ones keep 6 places.
+                    small = f"cast(try_cast({a.sql} as decimal(20, 9)) * try_cast({b.sql} as decimal(18, 9)) as decimal(38, 18))"
+                    large = f"cast(cast({a.sql} as decimal(27, 9)) * cast({b.sql} as decimal(27, 9)) as decimal(38, 18))"
+                    return Val(f"coalesce({small}, {large})", kind)
                 x, y = (f"cast({v.sql} as decimal(37, 18))" for v in (a, b))
                 return Val(f"cast({x} {op} {y} as decimal(38, 18))", kind)
             return Val(f"cast({a.sql} {op} {b.sql} as {SQL_OF[kind]})", kind)

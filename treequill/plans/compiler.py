@@ -15,6 +15,7 @@ only test nothing and read nothing cost nothing: unread columns are pruned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from treequill.functions import datetimes, sequences, strings  # noqa: F401  (they register functions)
@@ -36,6 +37,8 @@ class Table:
     columns: dict[str, str]
     #: Columns that give document order; position needs them.
     order: tuple[str, ...] = ()
+    #: Gives SQL literals that cut the first order column into stretches of like size; without them numbering is one global window.
+    bounds: Callable[[], list[str]] | None = field(default=None, compare=False)
 
 
 @dataclass
@@ -442,9 +445,31 @@ class Compiler:
                 select = f"{alias}.* EXCEPT (_pos, _last)"
                 keep = "" if "cdoc" in rel.frm[-1] else keep
         counts = any(isinstance(x, A.Call) and _local(x.name) == "last" for x in A.walk(p))
+        bounds = self.static.tables[item.table].bounds if isinstance(item, Row) and not rel.reverse and place.item is None else None
+        if bounds is not None and (cuts := bounds()):
+            out = self.numbered_by_stretch(rel, alias, select, order, cuts)
+            return self.where_position(replace(out, order=kept_order), p, place)
         last = f"count(1) OVER ({group})" if counts else "cast(null as bigint)"
         select += (f", {keep}" if keep else "") + f", row_number() OVER ({group} ORDER BY {order}) AS _pos, {last} AS _last"
-        out = Rel((f"({rel.sql(select)}) {alias}",), (), new, kept_order, rel.reverse)
+        return self.where_position(Rel((f"({rel.sql(select)}) {alias}",), (), new, kept_order, rel.reverse), p, place)
+
+    def numbered_by_stretch(self, rel: Rel, alias: str, select: str, order: str, cuts: list[str]) -> Rel:
+        """Rows numbered in each stretch of the order column, and shifted by the rows of the stretches before: no task sees all rows."""
+        key = rel.order[0]
+        stretch = f"size(filter(array({', '.join(cuts)}), c -> c < {key}))"
+        base, shifts = fresh("b"), fresh("s")
+        rows = rel.sql(f"{select}, {stretch} AS _stretch")
+        counts = f"SELECT _stretch AS _s, count(1) AS _n FROM ({rel.sql(f'{stretch} AS _stretch')}) GROUP BY _stretch"
+        sums = f"SELECT _s, coalesce(sum(_n) OVER (ORDER BY _s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before, sum(_n) OVER () AS _last FROM ({counts})"
+        ranked = order.replace(f"{alias}.", f"{base}.")
+        number = f"row_number() OVER (PARTITION BY {base}._stretch ORDER BY {ranked}) + {shifts}._before AS _pos, {shifts}._last AS _last"
+        sql = f"SELECT {base}.* EXCEPT (_stretch), {number} FROM ({rows}) {base} JOIN ({sums}) {shifts} ON {base}._stretch = {shifts}._s"
+        return Rel((f"({sql}) {alias}",), (), rel.item)
+
+    def where_position(self, out: Rel, p: A.Expr, place: Place) -> Rel:
+        """The rows of a numbered relation, which has _pos and _last, that a predicate selects."""
+        new = out.item
+        alias = new.alias if isinstance(new, Row | Node) else new.sql.partition(".")[0]
         position, total = integer(f"cast({alias}._pos as bigint)"), integer(f"{alias}._last")
         out, value = self.with_beside(out, lambda: self.value(p, replace(place, item=new, position=position, last=total, where=True)))
         if value.type in NUMERIC and not value.node:
@@ -980,6 +1005,27 @@ class Compiler:
         found = self.lateral(rel.sql(f"{out.sql} AS v")) or f"({rel.sql(out.sql)})"
         return replace(out, sql=found if missing == "null" else f"coalesce({found}, {missing})")
 
+    def f_deep_equal(self, e: A.Call, place: Place) -> Val:
+        """Over nodes the canonical forms of their subtrees are compared, over other items their values."""
+        sides = [self.relation(x, place) for x in e.args[:2]]
+        if not all(r is not None and isinstance(r.item, Node) for r in sides):
+            return self.static.catalog.find("deep-equal", len(e.args)).build(*(self.value(x, place) for x in e.args))
+        forms = [self.gathered(self.canonical(r)) for r in sides]  # type: ignore[arg-type]
+        return boolean(f"({forms[0].sql} = {forms[1].sql})")
+
+    def canonical(self, rel: Rel) -> Rel:
+        """The relation's nodes as texts that are equal for deep-equal subtrees: attributes by name, no comments, instructions or prefixes."""
+        n, d, h = rel.item.alias, fresh("n"), fresh("h")  # type: ignore[union-attr]
+        attribute = f"{d}.kind = 'attribute'"
+        place = f"if({attribute}, {d}.parent, {d}.pre), if({attribute}, concat({d}.ns, ' ', {d}.local), '')"
+        text = f"if({d}.kind = 'element', '', {d}.value)"
+        part = f"struct({place}, {d}.depth AS depth, concat_ws(chr(1), {d}.kind, {d}.ns, {d}.local, {text}) AS s)"
+        inside = f"{d}.doc = {n}.doc AND {d}.pre >= {n}.pre AND {d}.pre <= {n}.post AND ({d}.kind IN ('element', 'attribute', 'text') OR {d}.pre = {n}.pre)"
+        # The node itself comes first; depths count from its own.
+        form = "array_join(transform(a, x -> concat(cast(x.depth - a[0].depth as string), chr(1), x.s)), chr(2))"
+        beside = f"LATERAL (SELECT {form} AS v FROM (SELECT array_sort(collect_list({part})) AS a FROM `{self.static.nodes}` {d} WHERE {inside})) {h}"
+        return replace(rel, frm=(*rel.frm, beside), item=string(f"{h}.v"))
+
     def _node_argument(self, e: A.Call, place: Place, at: int = 0) -> A.Expr:
         return e.args[at] if len(e.args) > at else A.Context()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treequill.functions import udfs
@@ -15,6 +16,10 @@ from treequill.xpath.errors import XPathError
 from treequill.xpath.parser import parse
 
 
+#: Stretches that rows are numbered in where a predicate needs all their positions.
+STRETCHES = 64
+
+
 def _type_of(kind: T.DataType) -> str | None:
     """The XPath type of a column; None for columns that are no simple content."""
     if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
@@ -25,6 +30,21 @@ def _type_of(kind: T.DataType) -> str | None:
     return simple.get(type(kind))
 
 
+def _cuts(df: DataFrame, column: str, kind: str, stretches: int = STRETCHES):
+    """A function that finds, once and only if asked, the quantiles of a numeric column as SQL literals."""
+    if kind not in ("integer", "decimal", "double"):
+        return None
+    found: list[list[str]] = []
+
+    def cuts() -> list[str]:
+        if not found:
+            row = df.agg(F.percentile_approx(column, [i / stretches for i in range(1, stretches)], 10_000)).first()
+            found.append([repr(x) if kind == "double" else f"{x}L" if kind == "integer" else f"cast('{x}' as decimal(38, 18))" for x in sorted(set(row[0] or []))])
+        return found[0]
+
+    return cuts
+
+
 class Engine:
     """XPath over registered tables and XML node tables.
 
@@ -52,8 +72,10 @@ class Engine:
                 column = column.cast("bigint")
             select.append(column.alias(f.name))
         view = fresh(f"tq_{name}")
-        df.select(*select).createOrReplaceTempView(view)
-        self.static.tables[name] = Table(view, columns, tuple(order))
+        plain = df.select(*select)
+        plain.createOrReplaceTempView(view)
+        bounds = _cuts(plain, order[0], columns[order[0]]) if order else None
+        self.static.tables[name] = Table(view, columns, tuple(order), bounds)
         return self
 
     def nodes(self, df: DataFrame) -> Engine:

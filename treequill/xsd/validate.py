@@ -24,7 +24,7 @@ from treequill.xpath import ast as A
 from treequill.xpath.errors import XPathError
 from treequill.xpath.parser import parse
 from treequill.xsd.content import ELSEWHERE, alphabet, components, content_pattern, simple_of
-from treequill.xsd.schema import ANY_TYPE, Complex, Schema, Type, Wildcard, derives, leaves
+from treequill.xsd.schema import ANY_TYPE, Builder, Complex, Schema, Type, Wildcard, derives, leaves
 
 VIOLATION = ["doc", "pre", "path", "line", "code", "message"]
 
@@ -45,7 +45,7 @@ class Options:
 class Result:
     #: (doc, pre, path, line, code, message)
     violations: DataFrame
-    #: (doc, pre, path, type, nil, validity, attempted)
+    #: (doc, pre, path, type, types, nil, validity, attempted); types are the type and all it is derived from.
     psvi: DataFrame
 
 
@@ -225,11 +225,12 @@ class Validator:
             violations = violations.unionByName(f)
         violations = cut(violations)
         bad = violations.select(F.col("doc").alias("_d"), F.col("pre").alias("_p")).distinct()
-        names = self.small([(i, t.name) for i, t in enumerate(self.types)], "_t int, type string")
+        chain = lambda t: list(t.ancestors) if isinstance(t, Simple) else [c.name for c in t.chain()]
+        names = self.small([(i, t.name, chain(t)) for i, t in enumerate(self.types)], "_t int, type string, types array<string>")
         psvi = typed.join(names, F.col("type_id") == F.col("_t"), "left").join(bad, (F.col("doc") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
         validity = F.when(F.col("_p").isNotNull(), F.lit("invalid")).when(F.col("type_id").isNull(), F.lit("notKnown")).otherwise(F.lit("valid"))
         attempted = F.when(F.col("type_id").isNull(), F.lit("none")).otherwise(F.lit("full"))
-        psvi = psvi.select("doc", "pre", "path", "type", F.coalesce(F.col("xsi_nil").isin("true", "1"), F.lit(False)).alias("nil"), validity.alias("validity"), attempted.alias("attempted"))
+        psvi = psvi.select("doc", "pre", "path", "type", "types", F.coalesce(F.col("xsi_nil").isin("true", "1"), F.lit(False)).alias("nil"), validity.alias("validity"), attempted.alias("attempted"))
         return Result(violations, psvi)
 
     def rows(self, df: DataFrame, code: str, message) -> DataFrame:
@@ -394,6 +395,26 @@ def hints(nodes: DataFrame) -> DataFrame:
     return listed.union(bare).distinct()
 
 
+def enriched(nodes: DataFrame, builder: Builder) -> Schema:
+    """The second pass: the builder's schemas and those that the documents hint at and the loader has, compiled.
+
+    Hints are collected as distinct pairs: as many as there are schemas, not documents.
+    """
+    for namespace, location in hints(nodes).collect():
+        text = builder.loader(location)
+        if text is not None and (location, namespace) not in builder.loaded:
+            builder.loaded.add((location, namespace))
+            builder.add(text, location)
+    return builder.compile()
+
+
+def typed_nodes(nodes: DataFrame, result: Result) -> DataFrame:
+    """The node table with each element's types, which the tests element(name, type) of paths look at."""
+    found = result.psvi.where("types is not null").select(F.col("doc").alias("_d"), F.col("pre").alias("_p"), F.col("types").alias("_types"))
+    met = nodes.join(found, (F.col("doc") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
+    return met.withColumn("types", F.coalesce("_types", "types")).select(*nodes.columns)
+
+
 def strictly(options: Options) -> Options:
     """All checks on."""
     return replace(options, identity=True, assertions=True)
