@@ -109,9 +109,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES) ->
     exact = listed.select(F.col("url").alias("_listed")).where(F.col("_listed").isNotNull() & (F.col("_listed") != "")).distinct()
     bloom, blocks = build_filter(exact, "_listed")
     probed = probe(known, "_canonical", bloom, blocks)
-    # Rows that the filter rules out carry a null key, so the exact join neither moves them to a key's task nor matches them.
-    asked = probed.withColumn("_ask", F.when(F.col("maybe"), F.col("_canonical")))
-    met = asked.join(exact, F.col("_ask") == F.col("_listed"), "left")
+    # Rows that the filter rules out match nothing, so keys of their own spread them over the exact join's tasks.
+    key = F.when(F.col("maybe"), F.concat(F.lit("u"), "_canonical")).otherwise(F.concat(F.lit("n"), F.xxhash64("page_id").cast("string")))
+    met = probed.withColumn("_ask", key).join(exact.withColumn("_key", F.concat(F.lit("u"), "_listed")), F.col("_ask") == F.col("_key"), "left")
     hit = F.col("_listed").isNotNull()
     verdicts = {rule_name(r): r[2] for r in rules}
     of_rule = F.lit(None).cast("string")
