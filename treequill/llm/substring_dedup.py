@@ -25,6 +25,7 @@ costs a block one row for each map task, and no group is ever gathered.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 from itertools import compress
 
@@ -120,12 +121,30 @@ def _tag(places: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ((places.astype(np.uint64) << np.uint64(32)) | (first & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text deflated: texts are what most of the exchange is."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for first in range(0, batch.num_rows, 500):
+            part = batch.slice(first, 500)
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], _deflated(part.column(at)), *part.columns[at + 1 :]], names=part.schema.names)
+
+
+def _deflated(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else zlib.compress(t, 1) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    raw = [b"" if t is None else zlib.decompress(t) for t in textvec.column(batch, "text").to_pylist()]
+    return pa.array(raw, pa.large_binary()).cast(pa.large_string())
+
+
 def _window_rows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = textvec.column(batch, "doc_id")
             offsets, values = _lists(textvec.column(batch, "singles"))
-            for chunk in textvec.chunks(textvec.column(batch, "text")):
+            for chunk in textvec.chunks(_texts(batch)):
                 rows, starts = _candidates(chunk, _per_row(chunk, offsets, values), window, seed)
                 if len(starts) == 0:
                     continue
@@ -150,7 +169,7 @@ def _verdict_rows(window: int, seed: int, keep: list[str]):
         for batch in batches:
             ids = textvec.column(batch, "doc_id")
             single_lists, first_lists = _lists(textvec.column(batch, "singles")), _lists(textvec.column(batch, "firsts"))
-            for chunk in textvec.chunks(textvec.column(batch, "text")):
+            for chunk in textvec.chunks(_texts(batch)):
                 rows, copies = _candidates(chunk, _per_row(chunk, *single_lists), window, seed)
                 if len(copies):
                     tags = _tag(copies - chunk.bounds[rows], chunk.grams(window)[copies])
@@ -211,7 +230,8 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc_id long")
     counted = anchors.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     singles = counted.where("n = 1").groupBy("doc_id").agg(F.collect_list("anchor").alias("singles"))
-    known = texts.join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    packed_schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in texts.schema)
+    known = texts.mapInArrow(_packed_rows, packed_schema).join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     indexed = known.mapInArrow(_window_rows(window, seed), "w1 long, w2 int, doc_id long, place int")
     first = indexed.groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
     tag = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF)))
