@@ -82,7 +82,7 @@ def vectors(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     stats.append(np.bincount(gram_rows[again], minlength=chunk.rows) / safe)
     top = np.zeros(chunk.rows)
     np.maximum.at(top, owner, counts)
-    stats.append(top / safe)
+    stats.append(np.maximum(top - 1, 0) / safe)
     stats.append(_per_row(chunk.end - chunk.start > 20, chunk.bounds) / safe)
     return owner, bucket, value.astype(np.float32), np.stack(stats, axis=1).astype(np.float32)
 
