@@ -83,6 +83,11 @@ def test_custom_functions_hide_built_in_ones(spark):
     assert e.query("twice(21)").collect()[0][0] == 42 and e.query("upper-case('a')").collect()[0][0] == "mine"
 
 
+def test_pandas_functions(spark):
+    e = Engine(spark).register_udf("my:shout", lambda s: s + "!", "string", 1)
+    assert e.query("concat(my:shout('a'), 'b')").collect()[0][0] == "a!b"
+
+
 def test_old_language(spark):
     e = Engine(spark, mode="1.0")
     assert e.run_number("7 div 2") == 3.5 and e.run_string("concat('a', 1)") == "a1" and e.run_boolean("'1' = 1")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from treequill.functions import udfs
 from treequill.functions.registry import Catalog
-from treequill.functions.values import SQL_OF, Val, fresh, of_literal
+from treequill.functions.values import SQL_OF, Val, fresh, of_literal, one
 from treequill.plans.compiler import Compiler, Node, Place, Rel, Row, Static, Table, compiled
 from treequill.xpath.errors import XPathError
 from treequill.xpath.parser import parse
@@ -90,6 +90,12 @@ class Engine:
         self.static.catalog.register(name, build, least, most)
         return self
 
+    def register_udf(self, name: str, function: Callable, returns: str, count: int) -> Engine:
+        """A custom function from a pandas function of ``count`` series; ``returns`` is its result's XPath type."""
+        udf = fresh("tq_udf")
+        self.spark.udf.register(udf, F.pandas_udf(function, SQL_OF[returns]))
+        return self.register(name, lambda *args: Val(f"{udf}({', '.join(one(a).sql for a in args)})", returns), count)
+
     def variable(self, name: str, value: object) -> Engine:
         """An external variable: a string, number or boolean."""
         kind = "boolean" if isinstance(value, bool) else "integer" if isinstance(value, int) else "double" if isinstance(value, float) else "string" if isinstance(value, str) else "decimal"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import xml.parsers.expat as expat
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,26 +51,66 @@ def decode(data: bytes) -> str:
         raise NotWellFormed(f"unknown encoding {name}") from e
 
 
+class _Columns:
+    """Node rows of many documents, by column."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, list] = {name: [] for name in COLUMNS}
+
+    def __len__(self) -> int:
+        return len(self.of["pre"])
+
+    def cut(self, size: int) -> None:
+        for values in self.of.values():
+            del values[size:]
+
+    def error(self, doc: object, message: str, line: int | None) -> None:
+        row = {"doc": doc, "pre": 0, "post": 0, "depth": 0, "kind": "error", "ns": "", "prefix": "", "local": "", "value": message, "path": "", "is_nil": False, "line": line}
+        for name, values in self.of.items():
+            values.append(row.get(name))
+
+    def rows(self) -> list[dict]:
+        return [dict(zip(COLUMNS, row, strict=True)) for row in zip(*self.of.values(), strict=True)]
+
+
 class _Shredder:
-    """Builds the rows of one document from parser events."""
+    """Appends the rows of one document from parser events. A frame is an open element: its place, text parts, path, base URI and language."""
 
-    def __init__(self, doc: object, base: str | None) -> None:
-        self.doc, self.base, self.rows, self.stack = doc, base, [], []
+    def __init__(self, columns: _Columns, doc: object, base: str | None, parser) -> None:
+        self.columns, self.of, self.doc, self.parser = columns, columns.of, doc, parser
+        self.first = len(columns)
         self.text: list[str] = []
-        self.scopes: list[dict[str, str]] = [{"xml": XML}]
-        self.add("document", "", "", "", None)
-        self.rows[0].update(base_uri=base, lang=None)
-        self.stack.append((0, []))
-
-    def add(self, kind: str, ns: str, prefix: str, local: str, value: str | None) -> dict:
-        parent = self.rows[self.stack[-1][0]] if self.stack else None
-        row = dict.fromkeys(COLUMNS)
-        row.update(doc=self.doc, pre=len(self.rows), post=len(self.rows), kind=kind, ns=ns, prefix=prefix, local=local, value=value)
-        row.update(parent=parent["pre"] if parent else None, depth=parent["depth"] + 1 if parent else 0, is_nil=False)
-        row.update(base_uri=parent["base_uri"] if parent else None, lang=parent["lang"] if parent else None, line=self.parser.CurrentLineNumber if hasattr(self, "parser") else 0)
-        row["path"] = parent["path"] if parent else ""
-        self.rows.append(row)
-        return row
+        scope = {"xml": XML}
+        self.scopes = [(scope, list(scope.items()))]
+        self.stack: list[tuple[int, list[str], str, str | None, str | None]] = []
+        self.add("document", "", "", "", None, "", base, None, None)
+        self.stack.append((0, [], "", base, None))
+
+    def add(self, kind: str, ns: str, prefix: str, local: str, value: str | None, path: str, base: str | None, lang: str | None, bindings: list | None) -> int:
+        of, pre = self.of, len(self.of["pre"]) - self.first
+        of["doc"].append(self.doc)
+        of["pre"].append(pre)
+        of["post"].append(pre)
+        of["parent"].append(self.stack[-1][0] if self.stack else None)
+        of["depth"].append(len(self.stack))
+        of["kind"].append(kind)
+        of["ns"].append(ns)
+        of["prefix"].append(prefix)
+        of["local"].append(local)
+        of["value"].append(value)
+        of["path"].append(path)
+        of["ns_bindings"].append(bindings)
+        of["xml_id"].append(None)
+        of["base_uri"].append(base)
+        of["lang"].append(lang)
+        of["is_nil"].append(False)
+        of["line"].append(self.parser.CurrentLineNumber)
+        of["types"].append(None)
+        return pre
+
+    def leaf(self, kind: str, local: str, value: str) -> None:
+        _, _, path, base, lang = self.stack[-1]
+        self.add(kind, "", "", local, value, path, base, lang, None)
 
     def characters(self, value: str) -> None:
         self.text.append(value)
@@ -79,72 +120,86 @@ class _Shredder:
             value = "".join(self.text)
             self.text = []
             if len(self.stack) > 1:
-                self.add("text", "", "", "", value)
-                for _, parts in self.stack:
-                    parts.append(value)
+                self.leaf("text", "", value)
+                for frame in self.stack:
+                    frame[1].append(value)
 
     def qname(self, name: str, element: bool) -> tuple[str, str, str]:
         prefix, _, local = name.rpartition(":")
+        scope = self.scopes[-1][0]
         if not prefix:
-            return (self.scopes[-1].get("", "") if element else ""), "", local
-        if prefix not in self.scopes[-1]:
+            return (scope.get("", "") if element else ""), "", local
+        if prefix not in scope:
             raise NotWellFormed(f"unbound prefix {prefix}")
-        return self.scopes[-1][prefix], prefix, local
+        return scope[prefix], prefix, local
 
     def start(self, name: str, attributes: list[str]) -> None:
-        self.flush()
-        pairs = list(zip(attributes[::2], attributes[1::2], strict=True))
-        declared = {n[6:]: v for n, v in pairs if n == "xmlns" or n.startswith("xmlns:")}
-        scope = {**self.scopes[-1], **declared} if declared else self.scopes[-1]
-        scope = {k: v for k, v in scope.items() if v} if "" in declared.values() else scope
-        self.scopes.append(scope)
-        row = self.add("element", *self.qname(name, True), None)
-        row["path"] = f"{row['path']}/{row['local']}"
-        row["ns_bindings"] = scope
-        self.stack.append((row["pre"], []))
-        for prefix, uri in declared.items():
-            self.add("namespace", "", "", prefix, uri)
+        if self.text:
+            self.flush()
+        declared = {}
+        if attributes:
+            declared = {n[6:]: v for n, v in zip(attributes[::2], attributes[1::2], strict=True) if n == "xmlns" or n.startswith("xmlns:")}
+        if declared:
+            scope = {k: v for k, v in {**self.scopes[-1][0], **declared}.items() if v}
+            self.scopes.append((scope, list(scope.items())))
+        else:
+            self.scopes.append(self.scopes[-1])
+        _, _, above, base, lang = self.stack[-1]
+        ns, prefix, local = self.qname(name, True)
+        path = f"{above}/{local}"
+        pre = self.add("element", ns, prefix, local, None, path, base, lang, self.scopes[-1][1])
+        here, of = self.first + pre, self.of
+        parts: list[str] = []
+        self.stack.append((pre, parts, path, base, lang))
+        for p, uri in declared.items():
+            self.add("namespace", "", "", p, uri, path, base, lang, None)
         seen = set()
-        for n, v in pairs:
+        for i in range(0, len(attributes), 2):
+            n, v = attributes[i], attributes[i + 1]
             if n == "xmlns" or n.startswith("xmlns:"):
                 continue
             ns, prefix, local = self.qname(n, False)
             if (ns, local) in seen:
                 raise NotWellFormed(f"attribute {n} twice")
             seen.add((ns, local))
-            own = self.add("attribute", ns, prefix, local, v)
-            own["path"] = f"{row['path']}/@{local}"
+            self.add("attribute", ns, prefix, local, v, f"{path}/@{local}", base, lang, None)
             if ns == XML and local == "id":
-                row["xml_id"] = " ".join(v.split())
+                of["xml_id"][here] = " ".join(v.split())
             elif ns == XML and local == "lang":
-                row["lang"] = v
+                lang = of["lang"][here] = v
             elif ns == XML and local == "base":
-                from urllib.parse import urljoin
-
-                row["base_uri"] = urljoin(row["base_uri"] or "", v)
+                base = of["base_uri"][here] = urljoin(base or "", v)
             elif ns == XSI and local == "nil":
-                row["is_nil"] = v.strip() in ("true", "1")
+                of["is_nil"][here] = v.strip() in ("true", "1")
+        self.stack[-1] = (pre, parts, path, base, lang)
 
     def end(self, name: str) -> None:
-        self.flush()
-        pre, parts = self.stack.pop()
+        if self.text:
+            self.flush()
+        pre, parts, *_ = self.stack.pop()
         self.scopes.pop()
-        self.rows[pre].update(value="".join(parts), post=len(self.rows) - 1)
+        here = self.first + pre
+        self.of["value"][here] = "".join(parts)
+        self.of["post"][here] = len(self.columns) - self.first - 1
 
     def comment(self, value: str) -> None:
         self.flush()
-        self.add("comment", "", "", "", value)
+        self.leaf("comment", "", value)
 
     def instruction(self, target: str, value: str) -> None:
         self.flush()
-        self.add("pi", "", "", target, value)
+        self.leaf("pi", target, value)
 
+    def close(self) -> None:
+        self.of["value"][self.first] = "".join(self.stack[0][1])
+        self.of["post"][self.first] = len(self.columns) - self.first - 1
 
-def shred_text(doc: object, text: str | None, base: str | None = None) -> list[dict]:
-    """The rows of one document; one row of kind ``error`` if it is not well-formed."""
-    shredder = _Shredder(doc, base)
+
+def shred_into(columns: _Columns, doc: object, text: str | None, base: str | None = None) -> None:
+    """Appends the rows of one document; one row of kind ``error`` if it is not well-formed."""
+    size = len(columns)
     parser = expat.ParserCreate()
-    shredder.parser = parser  # type: ignore[attr-defined]
+    shredder = _Shredder(columns, doc, base, parser)
     parser.ordered_attributes = True
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler = shredder.start, shredder.end
@@ -154,11 +209,17 @@ def shred_text(doc: object, text: str | None, base: str | None = None) -> list[d
     try:
         parser.Parse((text or "").encode(), True)
     except (expat.ExpatError, NotWellFormed) as e:
-        row = dict.fromkeys(COLUMNS)
-        row.update(doc=doc, pre=0, post=0, depth=0, kind="error", ns="", prefix="", local="", value=str(e), path="", is_nil=False, line=parser.CurrentLineNumber)
-        return [row]
-    shredder.rows[0].update(value="".join(shredder.stack[0][1]), post=len(shredder.rows) - 1)
-    return shredder.rows
+        columns.cut(size)
+        columns.error(doc, str(e), parser.CurrentLineNumber)
+        return
+    shredder.close()
+
+
+def shred_text(doc: object, text: str | None, base: str | None = None) -> list[dict]:
+    """The rows of one document as dictionaries."""
+    columns = _Columns()
+    shred_into(columns, doc, text, base)
+    return columns.rows()
 
 
 def _refuse(name: str, *rest: object) -> None:
@@ -167,32 +228,25 @@ def _refuse(name: str, *rest: object) -> None:
 
 
 def _rows(schema: pa.Schema):
+    def batch_of(columns: _Columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns.of[f.name], f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
+            columns = _Columns()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out += shred_text(doc, decode(text) if isinstance(text, bytes) else text)
+                    shred_into(columns, doc, decode(text) if isinstance(text, bytes) else text)
                 except (NotWellFormed, UnicodeDecodeError) as e:
-                    out.append({**dict.fromkeys(COLUMNS), "doc": doc, "pre": 0, "post": 0, "depth": 0, "kind": "error", "ns": "", "prefix": "", "local": "", "value": str(e), "path": "", "is_nil": False})
-                if len(out) > 20_000:
-                    yield _batch(out, schema)
-                    out = []
-            yield _batch(out, schema)
+                    columns.error(doc, str(e), None)
+                if len(columns) > 20_000:
+                    yield batch_of(columns)
+                    columns = _Columns()
+            yield batch_of(columns)
 
     return run
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    cols = []
-    for f in schema:
-        values = [r[f.name] for r in rows]
-        if pa.types.is_map(f.type):
-            values = [None if v is None else list(v.items()) for v in values]
-        cols.append(pa.array(values, f.type))
-    return pa.RecordBatch.from_arrays(cols, schema=schema)
-
-
 def shred(docs: DataFrame, doc: str = "doc_id", xml: str = "xml") -> DataFrame:
     """The node table of a table of documents: ``doc`` names them, ``xml`` has their text or bytes. Null is not well-formed."""
     kind = docs.schema[doc].dataType
