@@ -1,8 +1,30 @@
-"""Cutting lineage, so that a lost executor costs no recomputation of long plans."""
+"""What plans need of the cluster: this package on the executors, and cut lineage, so that a lost executor costs no recomputation of long plans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they may lack it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_treequill_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(), "treequill.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        out.write(file, os.path.relpath(file, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc._treequill_shipped = True  # type: ignore[attr-defined]
 
 
 def cut(df: DataFrame) -> DataFrame:

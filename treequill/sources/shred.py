@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treequill.plans.lineage import ship
+
 XML = "http://www.w3.org/XML/1998/namespace"
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 COLUMNS = ("doc", "pre", "post", "parent", "depth", "kind", "ns", "prefix", "local", "value", "path", "ns_bindings", "xml_id", "base_uri", "lang", "is_nil", "line", "types")
@@ -249,6 +251,7 @@ def _rows(schema: pa.Schema):
 
 def shred(docs: DataFrame, doc: str = "doc_id", xml: str = "xml") -> DataFrame:
     """The node table of a table of documents: ``doc`` names them, ``xml`` has their text or bytes. Null is not well-formed."""
+    ship(docs.sparkSession)
     kind = docs.schema[doc].dataType
     spark_schema = T._parse_datatype_string(SCHEMA.format(doc=kind.simpleString()))
     from pyspark.sql.pandas.types import to_arrow_schema

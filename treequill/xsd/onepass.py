@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treequill.operators import facets
 from treequill.operators.facets import Simple
+from treequill.plans.lineage import ship
 from treequill.sources.shred import XML, XSI, NotWellFormed, decode
 from treequill.types import lexical
 from treequill.types.regex import schema_pattern
@@ -557,6 +558,7 @@ def violations(docs: DataFrame, schema: Schema, strict: bool = True, xml_attribu
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(docs.sparkSession)
     out = _parse_datatype_string(OUTPUT.format(doc=docs.schema[doc].dataType.simpleString()))
     return docs.select(doc, xml).mapInArrow(_rows(schema, strict, xml_attributes, to_arrow_schema(out)), out)
 
