@@ -39,7 +39,7 @@ SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Paths remembered in each Python worker, and the longest stretch that is remembered. Beyond them paths are found anew.
-REMEMBERED, LONGEST = 800_000, 40
+REMEMBERED, LONGEST = 300_000, 40
 #: What a character costs a unigram path if it has no piece, over the worst piece.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
