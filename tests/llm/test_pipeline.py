@@ -76,3 +76,15 @@ def test_nulls_and_repeated_rows(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (None, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 2]
+
+
+def test_clashing_columns(spark, folder):
+    """Columns named like the operators' own neither break a stage nor change."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["_id", "label", "_slot", "_row", "slot", "keep_0", "rep", "n", "score"]
+    odd = docs.selectExpr("*", *[f"doc_id * {i} as `{n}`" for i, n in enumerate(names, 2)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns
+        bad = " or ".join(f"`{n}` <> doc_id * {i}" for i, n in enumerate(names, 2))
+        assert out.where(bad).count() == 0 and out.count() > 0

@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The word separators of all contracts, as a Java and RE2 character class body.
-SPACE = r"\x20\x09-\x0D"
+from treequill.plans.lineage import cut, ship
 
+__all__ = ["SPACE", "checkpoint_root", "cut", "number_within", "ship", "table"]
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context: they may lack it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_treequill_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):
-        path = os.path.join(tempfile.mkdtemp(), "treequill.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        file = os.path.join(folder, name)
-                        out.write(file, os.path.relpath(file, os.path.dirname(root)))
-        sc.addPyFile(path)
-    sc._treequill_shipped = True
+#: The word separators of all contracts, as a Java and RE2 character class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,28 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own, or one below the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The shared folder for written tables: the cluster's own, or one below the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"  # type: ignore[union-attr]
 
 
-def number_within(df: DataFrame, lane: str, bucket: Column, order: list[Column], name: str, buckets: int) -> DataFrame:
+def number_within(df: DataFrame, lane: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Gapless numbers from 0 in each ``lane``, in order of (bucket, order).
 
     A window over a whole lane would put a hot lane in one task. Here each
     (lane, bucket) is numbered on its own and shifted by the rows of the
     lane's earlier buckets. The shifts join on the key that the numbering is
-    dealt by, so they cost no exchange of the rows beyond its own. ``bucket`` must have at most ``buckets`` values, which sort as the order does.
+    dealt by, so they cost no exchange of the rows beyond its own. Buckets must
+    sort as the order does.
     """
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(lane, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -86,7 +86,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: int = P
     lane = F.when(F.col("source").isin(known), F.col("source")).otherwise(rest) if known else rest
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select("doc_id", "source", lane.alias("lane"), digest.alias("_digest"))
-    ranked = number_within(rows, "lane", F.substring("_digest", 1, 3), [F.col("_digest"), F.col("doc_id"), F.col("source")], "_rank", 4096)
+    ranked = number_within(rows, "lane", F.substring("_digest", 1, 3), [F.col("_digest"), F.col("doc_id"), F.col("source")], "_rank")
     sizes = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
     blocks = ranked.withColumns({"block": F.floor(F.col("_rank") / block_rows), "block_row": (F.col("_rank") % block_rows).cast("int"), "_quota": sizes[F.col("lane")].cast("long")})
     blocks = blocks.withColumns({"_j": (F.col("block") % F.col("_quota")).cast("int"), "_shift": F.floor(F.col("block") / F.col("_quota")) * length})
@@ -107,9 +107,11 @@ def mix_rows(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: in
     """
     places = mix(docs.select("doc_id", "source"), targets, period, block_rows).select(F.col("doc_id").alias("_id"), "slot", "block_row")
     places = places.groupBy("_id").agg(F.min("slot").alias("_slot"), F.min("block_row").alias("_row"))
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]), "left")
+    # The columns of ``docs`` travel as one struct, so none clashes with a place's.
+    whole = docs.select(F.struct("*").alias("_doc"))
+    joined = whole.join(places, F.col("_doc.doc_id").eqNullSafe(F.col("_id")), "left")
     key = [F.coalesce("_slot", F.lit(2**62)), F.col("_row")]
-    return joined.repartitionByRange(*key).sortWithinPartitions(*key).select(*[docs[c] for c in docs.columns])
+    return joined.repartitionByRange(*key).sortWithinPartitions(*key).select("_doc.*")
 
 
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,7 +396,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     joined = join(docs.select("doc_id", "text"), **options)
     chosen = cut(joined.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     ids = chosen.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
     if not chosen.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null"))

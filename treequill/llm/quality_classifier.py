@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     lowest = F.xxhash64("doc_id").cast("double") / float(2**63)
     sample = known.where(lowest <= 2 * share - 1).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).limit(2 * rows)
     sample = sample.select(F.col("doc_id").alias("_id"), "label")
-    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = texts.mapInArrow(_vector_rows, f"doc_id {kind}, label int, bucket array<int>, value array<float>, stats array<float>").toArrow()
     found = found.sort_by("doc_id")

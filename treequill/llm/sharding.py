@@ -94,7 +94,7 @@ def assign(docs: DataFrame, tree: Tree = EIGHT, grown: Tree | None = None, slot_
         shard_of(key, grown).alias("grown_shard"),
     )
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets)).cast("int")
-    out = number_within(placed, "shard", bucket, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", slot_buckets)
+    out = number_within(placed, "shard", bucket, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
