@@ -104,11 +104,13 @@ class Machine:
         """The machine's sums by row, by the sum-of-squares identity."""
         n, dense = len(stats), self.standard(stats)
         tail, tail_factors = self.linear[BUCKETS:], self.factors[BUCKETS:]
-        out = self.bias + dense @ tail + np.bincount(owner, self.linear[bucket] * value, n)
+        # Sums by row, not matrix products: those may add in another order for another place in a chunk.
+        out = self.bias + (dense * tail).sum(axis=1) + np.bincount(owner, self.linear[bucket] * value, n)
         for f in range(self.factors.shape[1]):
             part = self.factors[bucket, f] * value
-            sums = np.bincount(owner, part, n) + dense @ tail_factors[:, f]
-            squares = np.bincount(owner, part**2, n) + dense**2 @ tail_factors[:, f] ** 2
+            whole = dense * tail_factors[:, f]
+            sums = np.bincount(owner, part, n) + whole.sum(axis=1)
+            squares = np.bincount(owner, part**2, n) + (whole**2).sum(axis=1)
             out += 0.5 * (sums**2 - squares)
         return out
 
