@@ -221,7 +221,7 @@ def _tile_rows(side: int):
             cols = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return run
+    return textvec.lean(run)
 
 
 def tiles(media: DataFrame, side: int = TILE) -> DataFrame:
@@ -273,7 +273,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     equal values. Empty tables give no rows.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_text_rows, schema)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(textvec.lean(_text_rows), schema)
 
 
 def op3_netpbm_bmp_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

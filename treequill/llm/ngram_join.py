@@ -111,7 +111,7 @@ def _set_rows(shingle: int, k: int):
                 cols = [ids.slice(chunk.first, chunk.rows), pa.array(digests, pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), pa.array([s.tobytes() for s in signs], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n_shingles", "signature"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _key(parts: np.ndarray, more: np.ndarray | int) -> np.ndarray:
@@ -151,7 +151,7 @@ def _root_rows(runs: int, depth: int, threshold: float):
                     at = at[entry]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "rep").take(pa.array(at))], names=["node", "rep"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _split_rows(threshold: float):
@@ -162,7 +162,7 @@ def _split_rows(threshold: float):
             at = pa.array(entry)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "rep").take(at), textvec.column(batch, "signature").take(at)], names=["node", "rep", "signature"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -227,7 +227,7 @@ def _bucket_rows(threshold: float, slack: float):
                 edges = []
         yield _edge_batch(edges)
 
-    return run
+    return textvec.lean(run)
 
 
 def _shingle_rows(shingle: int):
@@ -242,7 +242,7 @@ def _shingle_rows(shingle: int):
                 kept = [textvec.column(batch, c).slice(chunk.first, chunk.rows) for c in ("rep", "root", "copies", "side", "tiles")]
                 yield pa.RecordBatch.from_arrays([*kept, sets], names=["rep", "root", "copies", "side", "tiles", "set"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -301,7 +301,7 @@ def _tile_rows(threshold: float):
                 out = []
         yield batch(out)
 
-    return run
+    return textvec.lean(run)
 
 
 def _streamed(df: DataFrame, key: str, function, schema: str) -> DataFrame:

@@ -39,7 +39,7 @@ SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Paths remembered in each Python worker, and the longest stretch that is remembered. Beyond them paths are found anew.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 #: What a character costs a unigram path if it has no piece, over the worst piece.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
@@ -300,7 +300,7 @@ def _encode_rows(model: Model):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([textvec.column(batch, "doc_id"), lists, pa.array(np.diff(offsets).astype(np.int64)), same], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return run
+    return textvec.lean(run)
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
@@ -322,7 +322,7 @@ def _decode_rows(model: Model):
             texts = pa.array([None if x is None else decoder.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([textvec.column(batch, "doc_id"), texts], names=["doc_id", "text"])
 
-    return run
+    return textvec.lean(run)
 
 
 def decode(rows: DataFrame, model: Model) -> DataFrame:

@@ -191,7 +191,7 @@ def _score_rows(machine: Machine):
                 scores = logistic(machine.margins(*vectors(chunk)))
                 yield pa.RecordBatch.from_arrays([textvec.column(batch, "doc_id").slice(chunk.first, chunk.rows), pa.array(scores)], names=["doc_id", "score"])
 
-    return run
+    return textvec.lean(run)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     sample = sample.select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_vector_rows, f"doc_id {kind}, label int, bucket array<int>, value array<float>, stats array<float>").toArrow()
+    found = texts.mapInArrow(textvec.lean(_vector_rows), f"doc_id {kind}, label int, bucket array<int>, value array<float>, stats array<float>").toArrow()
     found = found.sort_by("doc_id")
     lists = [[np.asarray(x.values) for x in found.column(c)] for c in ("bucket", "value", "stats")]
     return fit(list(zip(*lists, found.column("label").to_pylist(), strict=True)))
@@ -240,7 +240,7 @@ def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textvec.lean(run), docs.schema)
 
 
 def op1_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def _anchor_rows(window: int, seed: int):
                 rows = chunk.row_of_word()[places] + chunk.first
                 yield pa.RecordBatch.from_arrays([pa.array(seeds[places].view(np.int64)), ids.take(pa.array(rows))], names=["anchor", "doc_id"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def _window_rows(window: int, seed: int):
                 cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), ids.take(pa.array(rows + chunk.first)), pa.array(places)]
                 yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "doc_id", "place"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _verdict_rows(window: int, seed: int, keep: list[str]):
@@ -179,7 +179,7 @@ def _verdict_rows(window: int, seed: int, keep: list[str]):
                 names = ["doc_id", *(f"keep_{i}" for i in range(len(keep))), "n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
                 yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.rows), *kept, *out], names=names)
 
-    return run
+    return textvec.lean(run)
 
 
 def _factor(chunk: textvec.Chunk, copies: np.ndarray, window: int) -> list[pa.Array]:
@@ -231,7 +231,7 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     counted = anchors.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     singles = counted.where("n = 1").groupBy("doc_id").agg(F.collect_list("anchor").alias("singles"))
     packed_schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in texts.schema)
-    known = texts.mapInArrow(_packed_rows, packed_schema).join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    known = texts.mapInArrow(textvec.lean(_packed_rows), packed_schema).join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     indexed = known.mapInArrow(_window_rows(window, seed), "w1 long, w2 int, doc_id long, place int")
     first = indexed.groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
     tag = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -6,7 +6,9 @@ ASCII, so cutting UTF-8 bytes cuts characters nowhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,5 +135,19 @@ def _chunk(data: np.ndarray, offs: np.ndarray, first: int) -> Chunk:
     return Chunk(first, rows, data, offs, start, end, bounds.astype(np.int64), hashes)
 
 
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``function`` over a partition's batches, after which the worker gives unused memory back: it may idle beside other stages for long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
