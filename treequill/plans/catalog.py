@@ -105,6 +105,8 @@ XPATH: dict[str, tuple[str, tuple[str, ...], str]] = {
         "SELECT event_id AS k, trunc(value)::BIGINT AS i, user_id::VARCHAR AS s, user_id <> 0 AS b FROM events"),
     "castable": (of("/conversations/row", "$r/conv_id", "$r/turn", "$r/text castable as xs:integer", "substring($r/text, 1, 1) castable as xs:double"), ("k", "t", "i", "d"),
         r"SELECT conv_id AS k, turn AS t, coalesce(regexp_full_match(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[+-]?[0-9]+'), false) AS i, coalesce(regexp_full_match(trim(substr(text, 1, 1), ' ' || chr(9) || chr(10) || chr(13)), '[0-9]'), false) AS d FROM conversations"),
+    "castable_text": (of("/conversations/row", "$r/conv_id", "$r/turn", "$r/text castable as xs:integer", "$r/text castable as xs:double"), ("k", "t", "i", "d"),
+        r"SELECT conv_id AS k, turn AS t, coalesce(regexp_full_match(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[+-]?[0-9]+'), false) AS i, coalesce(regexp_full_match(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN'), false) AS d FROM conversations"),
     "assertion": (f"{LINES}[not(l_quantity * 2000 >= l_extendedprice)]/l_extendedprice", ("price",), "SELECT l_extendedprice AS price FROM lineitem WHERE NOT l_quantity * 2000 >= l_extendedprice"),
     "cta": (of(EVENTS, "$r/event_id", "if ($r/event_type = 'click') then 'ClickType' else if (starts-with($r/event_type, 'p')) then 'PType' else 'EventType'"), ("k", "type"),
         "SELECT event_id AS k, CASE WHEN event_type = 'click' THEN 'ClickType' WHEN starts_with(event_type, 'p') THEN 'PType' ELSE 'EventType' END AS type FROM events"),
@@ -160,6 +162,7 @@ FUNCTIONS = {
     "fn_upper_case": _part("upper-case($r/p_name)", "upper(p_name)"),
     "fn_lower_case": _part("lower-case($r/p_brand)", "lower(p_brand)"),
     "fn_translate": _fn("translate(substring($r/text, 1, 60), 'aeiou', 'AE')", "translate(substr(text, 1, 60), 'aeiou', 'AE')"),
+    "fn_translate_text": _fn("translate($r/text, 'aeiou', 'AE')", "translate(coalesce(text, ''), 'aeiou', 'AE')"),
     "fn_encode_for_uri": _part("encode-for-uri(concat($r/p_brand, ' é'))", "url_encode(p_brand || ' é')"),
     "fn_iri_to_uri": _part("iri-to-uri(concat('http://h/', $r/p_size, '/é?a=b'))", "'http://h/' || p_size || '/%C3%A9?a=b'"),
     "fn_escape_html_uri": _part("escape-html-uri(concat('a b é', $r/p_size))", "'a b %C3%A9' || p_size"),
@@ -169,6 +172,7 @@ FUNCTIONS = {
     "fn_substring_before": _part("substring-before($r/p_type, ' ')", "CASE WHEN instr(p_type, ' ') > 0 THEN left(p_type, instr(p_type, ' ') - 1) ELSE '' END"),
     "fn_substring_after": _part("substring-after($r/p_brand, '#')", "CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, instr(p_brand, '#') + 1) ELSE '' END"),
     "fn_string_to_codepoints": _fn("sum(string-to-codepoints(substring($r/text, 1, 20)))", "list_sum([unicode(c) FOR c IN string_split(substr(text, 1, 20), '')])::DOUBLE"),
+    "fn_string_to_codepoints_text": _fn("sum(string-to-codepoints($r/text))", "coalesce(list_sum([unicode(c) FOR c IN string_split(text, '') IF c <> '']), 0)::DOUBLE"),
     "fn_codepoints_to_string": _part("codepoints-to-string((65 + $r/p_size mod 26, 233, 128512))", "chr(65 + p_size % 26) || 'é😀'"),
     "fn_compare": _part("compare($r/p_brand, 'Brand#3')", "CASE WHEN p_brand < 'Brand#3' THEN -1 WHEN p_brand = 'Brand#3' THEN 0 ELSE 1 END::BIGINT"),
     "fn_codepoint_equal": _part("codepoint-equal($r/p_brand, 'Brand#13')", "p_brand = 'Brand#13'"),
