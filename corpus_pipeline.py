@@ -39,15 +39,22 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in the order of the Pfair stream, so that every stretch of the files has the target mix."""
+    """Puts the documents in the order of the Pfair stream, so that a file holds a stretch of it with the target mix."""
     ship(spark)
     return mixing.mix_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, in the order of the stream."""
+    """(doc_id, slot, block_row, ids, n_tokens, round_trip): token ids of each text and its place in the stream.
+
+    Files read again may come in any order, so the places are found anew, from
+    the same rows and so the same. The stream is the order of (slot, block_row).
+    """
     ship(spark)
-    return pieces.encode(docs, pieces.read_model(pieces.MODEL_PATH))
+    placed = mixing.mix(docs, keep=["text"])
+    # Encoding hands doc_id through as it is, so the place travels in it.
+    whole = placed.select(F.struct("doc_id", "slot", "block_row").alias("doc_id"), "text")
+    return pieces.encode(whole, pieces.read_model(pieces.MODEL_PATH)).select("doc_id.*", "ids", "n_tokens", "round_trip")
 
 
 STAGES = [

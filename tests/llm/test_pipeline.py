@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from treequill.llm import pieces
+from treequill.llm import mixing, pieces
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,30 @@ def test_clashing_columns(spark, folder):
         assert out.columns == odd.columns
         bad = " or ".join(f"`{n}` <> doc_id * {i}" for i, n in enumerate(names, 2))
         assert out.where(bad).count() == 0 and out.count() > 0
+
+
+def test_the_mix_reaches_the_result(spark, tmp_path):
+    """Every prefix of the result in order of (slot, block_row) keeps the targets while a source has rows, whatever file a row is read from."""
+    rng = random.Random(7)
+    docs = [(i, f"text {rng.random()} of {i}", "en", "src0" if i % 8 else f"src{1 + i // 8 % 2}", 1) for i in range(1200)]
+    docs += [(None, "a row without a key", "en", None, 1), (5000, "one", "en", "src1", 1), (5000, "another", "en", "src1", 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mixed(spark, frame, "").repartition(5).write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    _, decoder = pieces.machines(pieces.read_model(pieces.MODEL_PATH))
+    source = {text: s for _, text, _, s, _ in docs}
+    assert sorted(decoder.decode(r.ids) for r in out) == sorted(source)
+    assert len({(r.slot, r.block_row) for r in out}) == len(docs)
+    placed = mixing.mix(frame).collect()
+    assert sorted((r.slot, r.block_row, source[decoder.decode(r.ids)] or "") for r in out) == sorted((r.slot, r.block_row, r.source or "") for r in placed)
+    quota = mixing.quotas(mixing.TARGETS)
+    for lane in ("src0", "src1", "src2"):
+        slots = [r.slot for r in out if source[decoder.decode(r.ids)] == lane]
+        for end in range(1, max(slots) + 2):
+            due = end * quota[lane] * mixing.BLOCK_ROWS / mixing.PERIOD
+            assert due > len(slots) or abs(sum(s < end for s in slots) - due) < mixing.BLOCK_ROWS
+
+
+def test_run_gives_places(spark, folder):
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert len({(r.slot, r.block_row) for r in out}) == len(out) and None not in {r.slot for r in out}

@@ -11,7 +11,7 @@ The schedule repeats with the period; only that bounded table is computed ahead.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +67,8 @@ def schedule(quota: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every row of ``docs`` (doc_id, source) with its place in the mixed stream.
+def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: int = PERIOD, block_rows: int = BLOCK_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``docs`` (doc_id, source) with its place in the mixed stream, and the columns ``keep`` after it.
 
     Rows of a source stand in order of the hash of doc_id and are cut into blocks
     of ``block_rows``. A source that runs out leaves its slots empty; no row is
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: int = P
     known = [k for k in targets if k != OTHER]
     lane = F.when(F.col("source").isin(known), F.col("source")).otherwise(rest) if known else rest
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", "source", lane.alias("lane"), digest.alias("_digest"))
+    rows = docs.select("doc_id", "source", lane.alias("lane"), digest.alias("_digest"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     ranked = number_within(rows, "lane", F.substring("_digest", 1, 3), [F.col("_digest"), F.col("doc_id"), F.col("source")], "_rank")
     sizes = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
     blocks = ranked.withColumns({"block": F.floor(F.col("_rank") / block_rows), "block_row": (F.col("_rank") % block_rows).cast("int"), "_quota": sizes[F.col("lane")].cast("long")})
@@ -96,6 +96,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, period: int = P
     return placed.select(
         "doc_id", "source", "lane", "block", "block_row",
         at("plan_release").alias("release"), at("plan_deadline").alias("deadline"), at("plan_slot").alias("slot"),
+        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
