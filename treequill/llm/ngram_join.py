@@ -11,8 +11,10 @@ which sends every class to the child of its shingle there. With a threshold of
 similarity stay together somewhere with a probability that falls only slowly
 with depth. Children of one class end. Children of at most ``BUCKET`` classes are
 brute-forced on signatures; larger ones are split again, and what the deepest
-level still holds together is brute-forced all the same, in pieces of equal
-size. Runs differ by their seeds; their number follows from the recall wanted.
+level still holds together is one group, all of whose pairs are verified. Runs
+differ by their seeds; their number follows from the recall wanted in nodes of
+the first level, and classes of nodes that are split take part in as many more
+as the deepest level needs.
 
 Classes that a bucket holds similar by signature are linked into groups. All
 pairs of a group are then verified on whole sets, in square tiles of bounded
@@ -54,6 +56,15 @@ def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = START_DEP
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
+def deep_runs_for(recall: float, threshold: float = THRESHOLD, depth: int = MOST_DEPTH) -> int:
+    """Runs until a pair at the threshold has met in a node of ``depth``, by the tree's own chance of a second coordinate."""
+    met, second = 1.0, 1 / threshold - 1
+    for _ in range(depth):
+        stays = threshold * met
+        met = (1 - second) * stays + second * (1 - (1 - stays) ** 2)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def _shingles(chunk: textvec.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles, sorted; a text of fewer than n words is one shingle."""
     grams = chunk.grams(n)
@@ -138,13 +149,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), -1)
 
 
-def _root_rows(runs: int, depth: int, threshold: float):
-    """The nodes of ``depth`` that each class falls into, in every run."""
+def _root_rows(runs: range, depth: int, threshold: float):
+    """The nodes of ``depth`` that each class falls into, in every one of ``runs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = _matrix(textvec.column(batch, "signature"))
-            for seed in range(runs):
+            for seed in runs:
                 at, keys = np.arange(len(signs)), np.full(len(signs), 0x5851F42D4C957F2D * (seed + 1) % (1 << 64), dtype=np.uint64)
                 for _ in range(depth):
                     entry, keys = _children(keys, signs[at], threshold)
@@ -327,9 +338,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
     live = classes.where("n_shingles > 0")
     # Chosen paths: only nodes that two classes share go on.
     signs = live.select(F.col("rep").alias("_rep"), "signature")
-    nodes = live.select("rep", "signature").mapInArrow(_root_rows(runs_for(recall, threshold), START_DEPTH, threshold), "node long, rep long")
-    nodes = nodes.join(nodes.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"), F.col("count").alias("_n")), F.col("node") == F.col("_node")).drop("_node")
-    nodes = cut(nodes.join(signs, F.col("rep") == F.col("_rep")).select("node", "rep", "signature", F.col("_n").alias("n")))
+
+    def rooted(some: DataFrame, runs: range) -> DataFrame:
+        found = some.select("rep", "signature").mapInArrow(_root_rows(runs, START_DEPTH, threshold), "node long, rep long")
+        found = found.join(found.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"), F.col("count").alias("_n")), F.col("node") == F.col("_node")).drop("_node")
+        return cut(found.join(signs, F.col("rep") == F.col("_rep")).select("node", "rep", "signature", F.col("_n").alias("n")))
+
+    first = runs_for(recall, threshold)
+    nodes = rooted(live, range(first))
+    more = range(first, deep_runs_for(recall, threshold, MOST_DEPTH))
+    crowded = nodes.where(F.col("n") > BUCKET)
+    if more and not crowded.isEmpty():
+        nodes = nodes.union(rooted(crowded.select("rep", "signature").dropDuplicates(["rep"]), more))
     buckets = [nodes.where(F.col("n") <= BUCKET)]
     for _ in range(START_DEPTH, MOST_DEPTH):
         large = nodes.where(F.col("n") > BUCKET)
@@ -340,9 +360,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
         nodes = cut(split.join(sizes, F.col("node") == F.col("_node")).drop("_node"))
         buckets.append(nodes.where(F.col("n") <= BUCKET))
     deepest = nodes.where(F.col("n") > BUCKET)
-    if not deepest.isEmpty():
-        buckets.append(_pieces(deepest))
-    edges = None
+    # What stays together is linked to its least class, and so verified whole.
+    least = deepest.groupBy("node").agg(F.min("rep").alias("a")).withColumnRenamed("node", "_node")
+    edges = None if deepest.isEmpty() else deepest.join(least, F.col("node") == F.col("_node")).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     for bucket in buckets:
         found = _streamed(bucket.select("node", "rep", "signature"), "node", _bucket_rows(threshold, SLACK), "a long, b long")
         edges = found if edges is None else edges.union(found)
@@ -359,16 +379,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
     return out.union(lone)
 
 
-def _pieces(nodes: DataFrame) -> DataFrame:
-    """Nodes that stay large, cut into pieces of half a bucket that all hold the node's least classes too, so that a piece finds its links to them."""
-    hubs = nodes.groupBy("node").agg(F.min("rep").alias("_hub"), F.max("n").alias("_n")).withColumnRenamed("node", "_node")
-    hub_signs = nodes.join(hubs, (F.col("node") == F.col("_node")) & (F.col("rep") == F.col("_hub"))).select(F.col("node").alias("_node"), F.col("rep").alias("_hub"), F.col("signature").alias("_hub_sign"), F.ceil(F.col("n") * 2 / BUCKET).cast("long").alias("_pieces"))
-    dealt = nodes.join(hub_signs, F.col("node") == F.col("_node")).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("_pieces")))
-    own = dealt.select(F.xxhash64("node", "piece").alias("node"), "rep", "signature")
-    spread = hub_signs.select("_node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)).alias("piece"), "_hub", "_hub_sign")
-    return own.union(spread.select(F.xxhash64("_node", "piece").alias("node"), F.col("_hub").alias("rep"), F.col("_hub_sign").alias("signature"))).distinct()
-
-
 def _verify(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, shingle: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """(_linked, links) and the forest (a, b) of the verified links of the classes in ``groups`` (node, root)."""
     sizes = groups.groupBy("root").count().select(F.col("root").alias("_root"), F.ceil(F.col("count") / tile).cast("long").alias("tiles"))
