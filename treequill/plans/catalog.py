@@ -199,7 +199,6 @@ FUNCTIONS = {
     "fn_matches": _fn("matches($r/text, '^[A-Z][a-z]+ ')", "regexp_matches(text, '^[A-Z][a-z]+ ')"),
     "fn_replace": _part("replace($r/p_brand, '([A-Za-z]+)#(\\d)', '$2-$1-')", r"regexp_replace(p_brand, '([A-Za-z]+)#(\d)', '\2-\1-', 'g')"),
     "fn_tokenize": _part("count(tokenize($r/p_type, '\\s+'))", r"len(string_split_regex(p_type, '\s+'))::BIGINT"),
-    "fn_resolve_uri": _fn("resolve-uri('../x', $r/url)", "regexp_replace(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(https?://[^/]+)(/.*)?$', 0), '^(https?://[^/]+)((?:/[^/]*)*?)/[^/]*(/[^/]*)$', '\\1\\2/x')", PAGES, "$r/page_id", "pages", "page_id"),
     "fn_trace": _part("trace($r/p_size, 'size')", "p_size::BIGINT"),
     "fn_QName": _part("concat(local-name-from-QName(QName('urn:a', 'p:b')), prefix-from-QName(QName('urn:a', 'p:b')), namespace-uri-from-QName(QName('urn:a', 'p:b')))", "'bpurn:a'"),
     "fn_default_collation": _part("default-collation()", "'http://www.w3.org/2005/xpath-functions/collation/codepoint'"),
@@ -208,7 +207,8 @@ FUNCTIONS["fn_duration_parts"] = _order(
     "days-from-duration($r/o_orderdate - xs:dateTime('1990-01-01T01:30:15')) * 100 + hours-from-duration($r/o_orderdate - xs:dateTime('1990-01-01T01:30:15'))",
     "((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1990-01-01 01:30:15')) // 86400000000 * 100 + (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1990-01-01 01:30:15')) // 3600000000 % 24)::BIGINT",
 )
-del FUNCTIONS["fn_resolve_uri"]
+#: Queries whose rows no SQL gives: name -> (expression, columns).
+WITHOUT_SQL = {"fn_resolve_uri": (of(PAGES, "$r/page_id", "resolve-uri('../x', $r/url)"), ("k", "v"))}
 XPATH["integer_div"] = (of(PARTS, "$r/p_partkey", "$r/p_size div 8"), ("k", "q"), "SELECT p_partkey AS k, (p_size / 8)::DOUBLE AS q FROM part")
 
 
@@ -347,5 +347,9 @@ def queries() -> dict:
     return out | {name: run for name, (run, _) in {**SCHEMA, **NODES}.items()}
 
 
+def queries_without_sql() -> dict:
+    return {name: _xpath(expression, columns) for name, (expression, columns) in WITHOUT_SQL.items()}
+
+
 def oracle_sql() -> dict:
     return {name: sql for name, (_, _, sql) in {**XPATH, **FUNCTIONS}.items()} | {name: sql for name, (_, sql) in {**SCHEMA, **NODES}.items()}
