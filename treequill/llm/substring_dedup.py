@@ -1,12 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself, in order of (doc_id, word). Each document
-is factored left to right against all that stands before any of its windows:
-a copy factor is a maximal stretch whose every window of ``WINDOW`` words occurs
-earlier, a literal factor is what lies between. Copy factors shorter than a
-window can't arise; at the ends of a factor each window that still reaches
-across the boundary is looked up on its own, so a repeat that starts in one
-factor and ends in the next is found as well.
+"""Substring dedup by window hashes, in place of a relative Lempel-Ziv parse.
+
+The reference is the corpus itself, in order of (doc_id, word). A window of
+``WINDOW`` words is a copy if its words stand earlier, and each maximal stretch
+under copied windows is a span, called a copy factor here. There is no greedy
+longest match and no factor has a source: copies from several sources that touch
+are one span. Which words go follows from the windows alone.
 
 The index of the reference is cut into blocks by hash, in two stages:
 
