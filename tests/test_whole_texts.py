@@ -26,17 +26,17 @@ def both(spark, folder, name, table):
 
 
 def test_translate(spark, folder):
-    got, sql = both(spark, folder, "fn_translate_text", "documents")
+    got, sql = both(spark, folder, "fn_translate", "documents")
     table = str.maketrans("ae", "AE", "iou")
     assert got == sql == [(i, (t or "").translate(table)) for i, t in enumerate(TEXTS)]
 
 
 def test_string_to_codepoints(spark, folder):
-    got, sql = both(spark, folder, "fn_string_to_codepoints_text", "documents")
+    got, sql = both(spark, folder, "fn_string_to_codepoints", "documents")
     assert got == sql == [(i, float(sum(map(ord, t or "")))) for i, t in enumerate(TEXTS)]
 
 
 def test_castable(spark, folder):
-    got, sql = both(spark, folder, "castable_text", "conversations")
+    got, sql = both(spark, folder, "castable", "conversations")
     integers, doubles = {"7", " 42\n", "1" * 15}, {"7", " 42\n", "1" * 15, "1.5", "1e3", "-INF", "+INF", "NaN", ".5"}
     assert got == sql == [(i, 0, t in integers, t in doubles) for i, t in enumerate(NUMBERS)]

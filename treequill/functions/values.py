@@ -8,7 +8,9 @@ local value, durations keep months and seconds apart.
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass, replace
+from datetime import date, datetime
 from decimal import Decimal
 
 from treequill.types import lexical
@@ -46,6 +48,8 @@ class Val:
     secs: str | None = None
     #: The value, if it is a literal.
     const: object = None
+    #: Of a node of a validated document: SQL of whether its type is a number's.
+    numeric: str | None = None
     #: Of a boolean: SQL that is true where the value is, but may be null where it is false. Joins and pushed filters see its parts.
     bare: str | None = None
 
@@ -140,6 +144,15 @@ def as_text(v: Val) -> str:
     return f"cast({v.sql} as string)"
 
 
+def canonical_text(v: Val) -> str:
+    """The item's text; of a node whose type is a number's the number's, so that equal values have equal texts."""
+    v = one(v, "a string")
+    if not v.numeric:
+        return as_text(v)
+    number = f"try_cast(btrim({v.sql}, ' \\t\\n\\r') as decimal(38, 18))"
+    return f"if({v.numeric}, coalesce({_decimal_text(number)}, {v.sql}), {v.sql})"
+
+
 def _decimal_text(sql: str) -> str:
     """A decimal without closing zeros."""
     return f"case when {sql} = 0 then '0' else trim(TRAILING '.' FROM trim(TRAILING '0' FROM cast(cast({sql} as decimal(38, 18)) as string))) end"
@@ -210,10 +223,48 @@ def _parse_duration(text: str) -> tuple[str, str]:
     return months, secs
 
 
+#: The offset of a literal without one.
+_NO_OFFSET = "cast(null as int)"
+
+
+def _folded(text: str, target: str) -> Val | None:
+    """The cast of a literal text, so that plans compare columns with plain literals; None leaves it to the general cast, and so do invalid texts."""
+    xs = XS.get(target, target)
+    text = " ".join(text.split())
+    if not text.isascii() or re.fullmatch(lexical.TYPES[xs].pattern, text) is None:
+        return None
+    if target in TEMPORAL:
+        local, zone = re.fullmatch(r"(.*?)(Z|[+-]\d\d:\d\d)?", text).groups()  # type: ignore[union-attr]
+        tz = _NO_OFFSET if zone is None else str(0 if zone == "Z" else (int(zone[1:3]) * 60 + int(zone[4:])) * (-1 if zone[0] == "-" else 1))
+        if len(local.partition(".")[2]) > 6:
+            return None
+        try:
+            if target == "date":
+                return Val(f"date'{date.fromisoformat(local)}'", target, tz=tz)
+            if target == "dateTime":
+                return Val(f"timestamp_ntz'{datetime.fromisoformat(local)}'", target, tz=tz)
+        except ValueError:  # years beyond four digits, and 24:00:00
+            return None
+        hour, minute, second = local.split(":")
+        return Val(f"cast('{int(hour) % 24 * 3600 + int(minute) * 60 + Decimal(second)}' as decimal(14, 6))", target, tz=tz)
+    if target in ("yearMonth", "dayTime"):
+        days, _, clock = text.lstrip("-").partition("T")
+        part = lambda of, unit: Decimal(m[1]) if (m := re.search(rf"([0-9.]+){unit}", of)) else Decimal(0)
+        sign = -1 if text.startswith("-") else 1
+        if target == "yearMonth":
+            return Val(f"cast('{sign * int(part(days, 'Y') * 12 + part(days, 'M'))}' as bigint)", target)
+        return Val(f"cast('{sign * (part(days, 'D') * 86400 + part(clock, 'H') * 3600 + part(clock, 'M') * 60 + part(clock, 'S'))}' as decimal(28, 6))", target)
+    if target == "integer" and abs(int(text)) < 2**63 and lexical.TYPES[xs].low is None:
+        return Val(f"{int(text)}L", target)
+    return None
+
+
 def _from_text(v: Val, target: str, safe: bool) -> Val:
     xs = XS.get(target, target)
     if xs not in lexical.TYPES:
         raise XPathError("XPST0051", f"no cast to {target}")
+    if isinstance(v.const, str) and (found := _folded(v.const, target)) is not None:
+        return found
     name = fresh("s")
     text = lexical.normalized(name, "collapse")
     bad = "null" if safe else error("FORG0001", f"no xs:{xs}")
@@ -322,8 +373,8 @@ GENERAL = {"=": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
 
 
 def _instant(v: Val, other: Val) -> str:
-    """A temporal value in UTC; without an offset it is in UTC already."""
-    if v.tz is None and other.tz is None:
+    """A temporal value in UTC; without an offset it is in UTC already. A column without offsets stays bare, for filters that are pushed down."""
+    if v.tz in (None, _NO_OFFSET, "0"):
         return v.sql
     tz = f"coalesce({v.tz}, 0)" if v.tz else "0"
     if v.type == "time":
@@ -363,7 +414,10 @@ def compare(op: str, a: Val, b: Val) -> str:
 
 
 def value_compare(op: str, a: Val, b: Val) -> Val:
-    a, b = (replace(x, type="string") if x.type == "untyped" else x for x in (one(a, op), one(b, op)))
+    a, b = one(a, op), one(b, op)
+    if a.numeric and b.numeric:
+        return boolean(_pair(op, a, b))
+    a, b = (cast(x, "double", True) if x.numeric and y.type in NUMERIC else replace(x, type="string") if x.type == "untyped" else x for x, y in ((a, b), (b, a)))
     return boolean(compare(op, a, b))
 
 
@@ -373,6 +427,9 @@ def _pair(op: str, a: Val, b: Val) -> str:
     Neither does untyped text that isn't in the other's lexical space: Spark may
     test a comparison on nodes that another condition rules out, so it can't raise.
     """
+    if a.type == b.type == "untyped" and a.numeric and b.numeric:
+        values = compare(op, cast(a, "double", True), cast(b, "double", True))
+        return f"(case when {a.numeric} and {b.numeric} then {values} else {compare(op, a, b)} end)"
     if a.type == "untyped" and b.type != "untyped":
         a = cast(a, "double" if b.type in NUMERIC else "string" if b.type in TEXTUAL else b.type, True)
     elif b.type == "untyped" and a.type != "untyped":

@@ -7,6 +7,7 @@ from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treequill.types import lexical
 from treequill.types.regex import literal, schema_pattern
@@ -163,12 +164,42 @@ def _comparable(text: str, kind: Simple) -> str:
     return f"try_cast(regexp_extract({text}, '(-?[0-9]+)', 1) as bigint)"
 
 
+#: XPath types of the primitives that assertions see typed; other values are strings there.
+_XPATH_TYPES = {"decimal", "float", "double", "boolean", "dateTime", "date", "time", "duration"}
+
+
+def _asserted(value: str, kind: Simple, test: str) -> str:
+    """SQL of an assertion, with ``$value`` bound to the typed value: a sequence for lists, untyped for unions."""
+    from treequill.functions.values import Val, cast, ebv
+    from treequill.plans.compiler import Compiler, Place, Static
+    from treequill.xpath.parser import parse
+
+    def typed(text: str, of: Simple) -> Val:
+        if of.variety == "union":
+            return Val(text, "untyped")
+        target = "integer" if of.primitive == "decimal" and lexical.derives(of.base, "integer") else of.primitive
+        return cast(Val(text, "string"), target, True) if target in {*_XPATH_TYPES, "integer"} else Val(text, "string")
+
+    if kind.variety == "list":
+        assert kind.item is not None
+        item = typed("i", kind.item)
+        bound = Val(f"if({value} = '', array(), transform(split({value}, ' '), i -> {item.sql}))", item.type, seq=True)
+    else:
+        bound = typed(value, kind)
+    static = Static()
+    static.variables["value"] = bound
+    return ebv(Compiler(static).value(parse(test), Place(static, vars={"value": bound})))
+
+
 def _step(value: str, kind: Simple, facets: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(code, SQL test that must hold) of the facets of one step."""
     out = []
     for name, values in facets.items():
         last = values[-1]
         code = f"cvc-{name}-valid"
+        if name == "assertion":
+            out += [("cvc-assertion", _asserted(value, kind, test)) for test in values]
+            continue
         if name == "pattern":
             out.append((code, f"{value} rlike {literal(schema_pattern(values))}"))
         elif name == "enumeration":
@@ -216,8 +247,37 @@ def member_of(text: str, kind: Simple, version: str = "1.1") -> str:
     return "case " + " ".join(f"when ({code_of(text, m, version)}) is null then '{m.name}'" for m in kind.members) + " end"
 
 
+def _typed_bounds(column: str, kind: Simple, values: T.DataType) -> list[tuple[str, str]] | None:
+    """(code, SQL that is true where the value breaks it) for a numeric column and a type with bounds only; None if the text has to be judged."""
+    if kind.variety != "atomic" or any(name not in BOUNDS for step in kind.steps for name in step):
+        return None
+    whole = isinstance(values, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+    if not ((whole or isinstance(values, T.DecimalType)) and kind.base == "decimal" or whole and kind.base in ("integer", "long") or isinstance(values, T.DoubleType) and kind.base == "double"):
+        return None
+    negated = {">=": "<", ">": "<=", "<=": ">", "<": ">="}
+    out = []
+    for step in kind.steps:
+        for name, texts in step.items():
+            bound = _number(texts[-1])
+            if bound is None or not bound.is_finite():
+                return None
+            text = f"{float(bound)!r}D" if kind.base == "double" else f"{bound:f}" + ("BD" if "." in f"{bound:f}" else "L" if abs(bound) < 2**63 else "BD")
+            # Spark puts NaN above all numbers; it is in no bounds.
+            odd = f" or isnan({column})" if kind.base == "double" and name.startswith("min") else ""
+            out.append((f"cvc-{name}-valid", f"{column} {negated[BOUNDS[name]]} {text}{odd}"))
+    return out
+
+
 def check_column(df: DataFrame, column: str, kind: Simple, keys: list[str], version: str = "1.1") -> DataFrame:
-    """(keys, value, code) of the rows whose value breaks the type; null values are absent and pass."""
+    """(keys, value, code) of the rows whose value breaks the type; null values are absent and pass.
+
+    Bounds of numeric columns compare the column itself, so they reach the scan; all else is judged by its text.
+    """
+    typed = _typed_bounds(f"`{column}`", kind, df.schema[column].dataType)
+    if typed:
+        broken = F.expr(" or ".join(f"({test})" for _, test in typed))
+        code = F.expr("case " + " ".join(f"when {test} then '{code}'" for code, test in typed) + " end")
+        return df.where(F.col(f"`{column}`").isNotNull() & broken).select(*keys, F.col(f"`{column}`").cast("string").alias("value"), code.alias("code"))
     text = F.col(column).cast("string").alias("value")
     found = df.select(*keys, text).withColumn("code", F.expr(code_of("value", kind, version)))
     return found.where("code is not null")

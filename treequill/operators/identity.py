@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treequill.functions.values import as_text, one
+from treequill.functions.values import canonical_text, one
 from treequill.plans.compiler import Compiler, Node, Place, Rel, Static
 from treequill.xpath import ast as A
 from treequill.xpath.errors import XPathError
@@ -95,7 +95,7 @@ def tuples(spark, static: Static, constraint: Constraint) -> DataFrame:
         raise XPathError("src-identity-constraint", "the selector must find elements")
     rel = Rel((*outer.frm, *selected.frm), (*outer.where, *selected.where), selected.item)
     place = Place(static, item=selected.item)
-    rel, values = compiler.with_beside(rel, lambda: [as_text(one(compiler.value(_as_path(restricted(f, True)), place))) for f in constraint.fields])  # type: ignore[arg-type, return-value]
+    rel, values = compiler.with_beside(rel, lambda: [canonical_text(one(compiler.value(_as_path(restricted(f, True)), place))) for f in constraint.fields])  # type: ignore[arg-type, return-value]
     columns = ", ".join(f"{v} AS f{i}" for i, v in enumerate(values))  # type: ignore[arg-type, var-annotated]
     return spark.sql(rel.sql(f"{outer.item.alias}.doc AS doc, {outer.item.alias}.pre AS scope, {selected.item.alias}.pre AS pre, {columns}"))
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field, replace
 from treequill.functions import datetimes, sequences, strings  # noqa: F401  (they register functions)
 from treequill.functions.registry import Catalog
 from treequill.functions.values import (
-    EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, cast, castable, ebv, error, first, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
+    EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, canonical_text, cast, castable, ebv, error, first, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
     text_literal, truth, value_compare, as_text,
 )
 from treequill.types import lexical
@@ -55,6 +55,8 @@ class Static:
     mode: str = "2.0"
     #: "step": positions run over all that a step finds in a document; "w3c": over what it finds from one context node.
     positional: str = "step"
+    #: Do nodes compare by the types that validation gave them?
+    typed: bool = False
     catalog: Catalog = field(default_factory=Catalog)
     variables: dict[str, Val] = field(default_factory=dict)
 
@@ -533,7 +535,8 @@ class Compiler:
         if isinstance(item, Val):
             return item
         if isinstance(item, Node):
-            return Val(f"{item.alias}.value", "untyped", node=True)
+            numeric = f"coalesce(arrays_overlap({item.alias}.types, array('decimal', 'float', 'double')), false)" if self.static.typed else None
+            return Val(f"{item.alias}.value", "untyped", node=True, numeric=numeric)
         columns = self.static.tables[item.table].columns
         return Val(f"concat({', '.join(f'coalesce({as_text(Val(f'{item.alias}.`{c}`', t))}, {chr(39) * 2})' for c, t in columns.items())})", "untyped", node=True)
 
@@ -824,7 +827,8 @@ class Compiler:
             return Val("cast(null as boolean)", "boolean")
         a, b = sides
         sign = {"is": "=", "<<": "<", ">>": ">"}[e.op]
-        return boolean(f"(struct({a('doc')}, {a('pre')}) {sign} struct({b('doc')}, {b('pre')}))")
+        found = f"(struct({a('doc')}, {a('pre')}) {sign} struct({b('doc')}, {b('pre')}))"
+        return boolean(f"if({a('pre')} is null or {b('pre')} is null, null, {found})")
 
     def node(self, e: A.Expr, place: Place):
         """A function from a node column to its SQL for the single node that ``e`` gives, or None for nothing."""
@@ -951,6 +955,8 @@ class Compiler:
     def gathered(self, rel: Rel) -> Val:
         """The relation's items as an array, in document order."""
         value = self.atom(rel)
+        if value.numeric:  # outside, only the value is known
+            value = replace(value, sql=canonical_text(value), numeric=None)
         keys = ", ".join(f"{o} AS o{i}" for i, o in enumerate(rel.order))
         x = fresh()
         items = f"transform(array_sort(collect_list(struct({keys}, {value.sql} AS v))), {x} -> {x}.v)" if keys else f"collect_list({value.sql})"

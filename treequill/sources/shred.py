@@ -200,7 +200,7 @@ class _Shredder:
 def shred_into(columns: _Columns, doc: object, text: str | None, base: str | None = None) -> None:
     """Appends the rows of one document; one row of kind ``error`` if it is not well-formed."""
     size = len(columns)
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate("utf-8")  # texts are decoded already, whatever they declare
     shredder = _Shredder(columns, doc, base, parser)
     parser.ordered_attributes = True
     parser.buffer_text = True

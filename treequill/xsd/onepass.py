@@ -22,8 +22,9 @@ from treequill.plans.lineage import ship
 from treequill.sources.shred import XML, XSI, NotWellFormed, decode
 from treequill.types import lexical
 from treequill.types.regex import schema_pattern
-from treequill.xsd.content import ELSEWHERE, alphabet, content_pattern
-from treequill.xsd.schema import ANY_TYPE, Complex, Element, Schema, Type, derives, leaves
+from treequill.xpath.errors import XPathError
+from treequill.xsd.content import ELSEWHERE, alphabet, components, content_pattern
+from treequill.xsd.schema import ANY_TYPE, PROCESS, Complex, Element, Schema, Type, derives, leaves, wildcards
 
 OUTPUT = "doc {doc}, pre int, path string, line int, code string, message string"
 #: Values and child sequences whose verdict is remembered for each type.
@@ -180,6 +181,8 @@ def _lexical(name: str, version: str) -> Callable[[str], bool]:
 
 def _facet(kind: Simple, name: str, values: list[str]) -> Callable[[str], bool] | None:
     last = values[-1]
+    if name == "assertion":
+        raise XPathError("cvc-assertion", f"{kind.name} has an assertion, which only treequill.xsd.validate evaluates")
     if name == "pattern":
         match = _compiled(schema_pattern(values)).search
         return lambda t: match(t) is not None
@@ -286,9 +289,7 @@ class Model:
         self.match = re.compile(content_pattern(kind, plan.schema, plan.names)).search
         self.known: dict[str, bool] = {}
         self.children: dict[tuple[str, str], Element] = {}
-        rank = {"skip": 0, "lax": 1, "strict": 2}
-        wild = [p.wildcard for p in leaves(kind.particle) if p.wildcard] + ([kind.open_content[1]] if kind.open_content else [])
-        self.process = min((w.process for w in wild), key=rank.__getitem__) if wild else None
+        self.wildcards = sorted(wildcards(kind), key=lambda w: PROCESS.index(w.process))
         for p in leaves(kind.particle):
             if p.element is not None:
                 self.children[p.element.name] = p.element
@@ -328,7 +329,7 @@ class Document:
         self.refs: list[tuple[int, str]] = []
 
     def run(self, text: str | None) -> list[tuple]:
-        parser = self.parser = expat.ParserCreate(namespace_separator=" ")
+        parser = self.parser = expat.ParserCreate("utf-8", namespace_separator=" ")
         parser.ordered_attributes = parser.buffer_text = True
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.data_
         parser.CommentHandler, parser.ProcessingInstructionHandler = self.other, self.other
@@ -400,8 +401,8 @@ class Document:
                 decl = above.model.children.get(qname)
                 if decl is not None:
                     process = "strict"
-                elif above.model.process is not None:
-                    process = above.model.process
+                elif (wild := next((w for w in above.model.wildcards if w.admits(ns, local)), None)) is not None:
+                    process = wild.process
                     decl = schema.elements.get(qname) if process != "skip" else None
         else:
             decl = schema.elements.get(qname)
@@ -460,7 +461,7 @@ class Document:
             code = None
             if use is not None:
                 code = plan.check(use.type)(value)
-                if code is None and use.fixed is not None and value.strip(" ") != use.fixed.strip(" "):
+                if code is None and use.fixed is not None and not _same(use.type, value, use.fixed):
                     code = "cvc-attribute.4"
                 self.reference(use.type, pre, value)
             else:
@@ -559,6 +560,10 @@ def violations(docs: DataFrame, schema: Schema, strict: bool = True, xml_attribu
     from pyspark.sql.types import _parse_datatype_string
 
     ship(docs.sparkSession)
+    for kind in components(schema)[1]:  # a type that can't be checked here is an error before any document is read
+        simple = kind if isinstance(kind, Simple) else kind.simple
+        if simple is not None:
+            checker(simple, schema.version)
     out = _parse_datatype_string(OUTPUT.format(doc=docs.schema[doc].dataType.simpleString()))
     return docs.select(doc, xml).mapInArrow(_rows(schema, strict, xml_attributes, to_arrow_schema(out)), out)
 

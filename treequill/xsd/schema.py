@@ -296,6 +296,15 @@ def leaves(p: Particle | None):
         yield from leaves(c)
 
 
+#: How wildcards treat what they match, the loosest first.
+PROCESS = ("skip", "lax", "strict")
+
+
+def wildcards(t: Complex) -> list[Wildcard]:
+    """The wildcards of a type's content; a name that several admit is treated as the loosest says."""
+    return [p.wildcard for p in leaves(t.particle) if p.wildcard] + ([t.open_content[1]] if t.open_content else [])
+
+
 _FACETS = facets.FACETS
 _TOP = {"element", "attribute", "simpleType", "complexType", "group", "attributeGroup", "notation"}
 

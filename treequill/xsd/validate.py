@@ -24,7 +24,7 @@ from treequill.xpath import ast as A
 from treequill.xpath.errors import XPathError
 from treequill.xpath.parser import parse
 from treequill.xsd.content import ELSEWHERE, alphabet, components, content_pattern, simple_of
-from treequill.xsd.schema import ANY_TYPE, Builder, Complex, Schema, Type, Wildcard, derives, leaves
+from treequill.xsd.schema import ANY_TYPE, PROCESS, Builder, Complex, Schema, Type, Wildcard, derives, leaves, wildcards
 
 VIOLATION = ["doc", "pre", "path", "line", "code", "message"]
 
@@ -82,16 +82,14 @@ class Validator:
                         rows += [(self.type_id[id(t)], *e.name, self.element_id[id(e)]) for e in {id(x): x for x in (p.element, *members)}.values()]
         return self.small(list(dict.fromkeys(rows)), "c_type int, c_ns string, c_local string, c_decl int")
 
-    def wildcards(self) -> DataFrame:
-        """How a type's wildcards treat what they match: by the loosest of them."""
-        rank = {"skip": 0, "lax": 1, "strict": 2}
-        rows = []
+    def wildcards(self, column: str) -> str:
+        """SQL of how the type in ``column`` treats an element (ns, local) that no particle declares: as the loosest wildcard that admits it."""
+        branches = {}
         for t in self.types:
-            if isinstance(t, Complex):
-                found = [p.wildcard for p in leaves(t.particle) if p.wildcard] + ([t.open_content[1]] if t.open_content else [])
-                if found:
-                    rows.append((self.type_id[id(t)], min((w.process for w in found), key=rank.__getitem__)))
-        return self.small(rows, "w_type int, w_process string")
+            if isinstance(t, Complex) and (found := wildcards(t)):
+                tests = [(process, " or ".join(self.admits(w) for w in found if w.process == process)) for process in PROCESS]
+                branches[self.type_id[id(t)]] = "case " + " ".join(f"when {test} then '{process}'" for process, test in tests if test) + " end"
+        return self.case(column, branches, "cast(null as string)")
 
     def type_names(self) -> DataFrame:
         rows = [(*q, self.type_id[id(t)]) for q, t in self.schema.types.items() if id(t) in self.type_id]
@@ -158,7 +156,7 @@ class Validator:
             above = level.where("type_id is not null").select(F.col("doc").alias("p_doc"), F.col("pre").alias("p_pre"), F.col("type_id").alias("p_type"))
             below = base.where(F.col("depth") == depth).join(above, (F.col("doc") == F.col("p_doc")) & (F.col("parent") == F.col("p_pre")))
             below = below.join(self.children(), (F.col("p_type") == F.col("c_type")) & (F.col("ns") == F.col("c_ns")) & (F.col("local") == F.col("c_local")), "left")
-            below = below.join(self.wildcards(), F.col("p_type") == F.col("w_type"), "left")
+            below = below.withColumn("w_process", F.expr(self.wildcards("p_type")))
             below = below.join(self.globals(), (F.col("ns") == F.col("g_ns")) & (F.col("local") == F.col("g_local")), "left")
             by_wildcard = F.col("c_decl").isNull() & F.col("w_process").isNotNull()
             below = below.withColumns({
@@ -216,10 +214,13 @@ class Validator:
         typed = cut(self.typed(nodes))
         found = [self.malformed(nodes), self.element_rules(typed), self.content_rules(typed, nodes), self.value_rules(typed, nodes), self.attribute_rules(typed, nodes)]
         found.append(self.reference_rules(typed, nodes))
-        if self.options.identity:
-            found += self.identity_rules(nodes, typed)
-        if self.options.assertions:
-            found += self.assertion_rules(nodes, typed)
+        identity_ = self.options.identity and any(e.constraints for e in self.elements)
+        assertions = self.options.assertions and any(isinstance(t, Complex) and t.assertions for t in self.types)
+        valued = self.with_types(nodes, typed) if identity_ or assertions else nodes
+        if identity_:
+            found += self.identity_rules(valued, typed)
+        if assertions:
+            found += self.assertion_rules(valued, typed)
         violations = found[0]
         for f in found[1:]:
             violations = violations.unionByName(f)
@@ -308,10 +309,12 @@ class Validator:
         xml = f"ns = '{XML}'" if self.options.xml_attributes else "false"
         used = {self.simple_id(a.type) for t in list(self.types) if isinstance(t, Complex) for a in t.attributes.values()}
         used_globals = {self.simple_id(a.type) for a in self.schema.attributes.values()}
+        decimal = [str(i) for i in used if isinstance(t := self.types[i], Simple) and t.variety == "atomic" and t.primitive == "decimal"]
+        equal = f"coalesce(a_simple in ({', '.join(decimal) or '-1'}) and try_cast(btrim(value) as decimal(38, 18)) = try_cast(btrim(a_fixed) as decimal(38, 18)), false)"
         code = (
             f"case when a_type is null and not ({admitted}) and not ({xml}) then 'cvc-complex-type.3.2.2' "
             f"when a_type is null and {process} = 'strict' and b_simple is null and not ({xml}) then 'cvc-assess-attr.1.2' "
-            f"when a_type is not null then coalesce({self.simple_case('a_simple', 'value', used)}, case when a_fixed is not null and btrim(value) <> btrim(a_fixed) then 'cvc-attribute.4' end) "
+            f"when a_type is not null then coalesce({self.simple_case('a_simple', 'value', used)}, case when a_fixed is not null and btrim(value) <> btrim(a_fixed) and not {equal} then 'cvc-attribute.4' end) "
             f"when coalesce({process}, 'skip') <> 'skip' and b_simple is not null then {self.simple_case('b_simple', 'value', used_globals)} end"
         )
         found = self.rows(met, code, F.concat(F.lit("attribute "), "local"))
@@ -342,10 +345,21 @@ class Validator:
         found = identity.id_violations(elements.union(attributes))
         return found.select("doc", "pre", F.lit("").alias("path"), F.lit(None).cast("int").alias("line"), "code", "message")
 
+    def with_types(self, nodes: DataFrame, typed: DataFrame) -> DataFrame:
+        """The node table with the types of elements' and attributes' values, by which assertions and identity constraints compare."""
+        chain = lambda t: list(t.ancestors) if isinstance(t, Simple) else []
+        names = self.small([(i, chain(simple_of(t))) for i, t in enumerate(self.types) if simple_of(t) is not None], "_t int, _types array<string>")
+        owners = typed.where("type_id is not null").select(F.col("doc").alias("_d"), F.col("pre").alias("_p"), "type_id")
+        own = nodes.where("kind = 'attribute'").select("doc", "parent", "pre", "ns", "local").join(owners, (F.col("doc") == F.col("_d")) & (F.col("parent") == F.col("_p")))
+        own = own.join(self.attribute_uses(), (F.col("type_id") == F.col("a_type")) & (F.col("ns") == F.col("a_ns")) & (F.col("local") == F.col("a_local")))
+        every = owners.select("_d", "_p", "type_id").union(own.select("doc", "pre", "a_simple")).join(names, F.col("type_id") == F.col("_t")).select("_d", "_p", "_types")
+        met = nodes.join(every, (F.col("doc") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
+        return cut(met.withColumn("types", F.coalesce("_types", "types")).select(*nodes.columns))
+
     def static(self, nodes: DataFrame, scope: dict[str, str], default: str = "") -> Static:
         view = fresh("tq_valid")
         nodes.createOrReplaceTempView(view)
-        out = Static(nodes=view, default_namespace=default)
+        out = Static(nodes=view, default_namespace=default, typed=True)
         out.namespaces.update({k: v for k, v in scope.items() if k})
         return out
 
