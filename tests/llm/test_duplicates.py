@@ -145,6 +145,29 @@ def test_join_edges(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_of_repeated_ids_with_other_texts(spark):
+    """Rows that share a doc_id are rows of their own, in any order."""
+    long = lambda tag, n=30: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(5, long("a")), (5, long("b")), (6, long("a") + " more"), (7, long("b") + " more"), (5, long("a")), (8, long("c")), (None, long("a"))]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame([(*r, i) for i, r in enumerate(order)], "doc_id long, text string, cls long")
+        got = ngram_join.join(frame).collect()
+        want = {(5, 5, 5, 2, 2): 2, (5, 5, 5, 1, 1): 1, (6, 6, 5, 1, 2): 1, (7, 7, 5, 1, 1): 1, (8, 8, 8, 1, 0): 1, (None, None, None, 1, 0): 1}
+        assert Counter((r.doc_id, r.rep, r.class_id, r.n_copies, r.n_links) for r in got) == Counter(want)
+        left = ngram_join.representatives(frame).collect()
+        assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, long("a")), (5, long("b")), (8, long("c")), (None, long("a"))])
+
+
+def test_hot_keys_meet_as_others_do(spark):
+    from treequill.llm.common import join_counted
+
+    rows = spark.createDataFrame([(7, i) for i in range(3000)] + [(i, i) for i in range(100, 400)] + [(None, 1)], "k long, x long")
+    counted = rows.where("k is not null").groupBy("k").count().where("k <> 333")
+    for most in (3000, 10**6):
+        got = Counter((r.k, r["count"]) for r in join_counted(rows, "k", counted, "count", 3300, most).collect())
+        assert got == Counter({(7, 3000): 3000, **{(i, 1): 1 for i in range(100, 400) if i != 333}})
+
+
 def test_runs_follow_the_recall():
     assert ngram_join.runs_for(0.9) < ngram_join.runs_for(0.99) < ngram_join.runs_for(0.9999)
 

@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Texts become sets of the hashes of their five-word shingles. Equal sets form a
-class, of which only the one with the least doc_id goes on. A class carries a
-signature of least hashes, each a uniformly sampled shingle of its set; where two
-sets agree in a coordinate, the sampled shingle is one that they share.
+class, which goes on as one. A class carries a signature of least hashes, each a
+uniformly sampled shingle of its set; where two sets agree in a coordinate, the
+sampled shingle is one that they share.
 
 A run is a tree. The root holds all classes; a node samples coordinates, each of
 which sends every class to the child of its shingle there. With a threshold of
@@ -11,31 +11,32 @@ which sends every class to the child of its shingle there. With a threshold of
 similarity stay together somewhere with a probability that falls only slowly
 with depth. Children of one class end. Children of at most ``BUCKET`` classes are
 brute-forced on signatures; larger ones are split again, and what the deepest
-level still holds together is one group, all of whose pairs are verified. Runs
-differ by their seeds; their number follows from the recall wanted in nodes of
-the first level, and classes of nodes that are split take part in as many more
-as the deepest level needs.
-
-Classes that a bucket holds similar by signature are linked into groups. All
-pairs of a group are then verified on whole sets, in square tiles of bounded
-size, each pair in exactly one tile; tiles give sums for each class and a
-spanning forest, never lists of pairs.
+level still holds together is brute-forced whatever its size. Runs differ by
+their seeds; their number follows from the recall wanted in nodes of the first
+level, and classes of nodes that are split take part in as many more as the
+deepest level needs.
+
+Brute force works in square tiles of bounded size: a node's classes are dealt to
+sides, and each pair of sides is a tile. Classes that a tile holds similar by
+signature are linked into groups. All pairs of a group are then verified on whole
+sets, in tiles again, each pair in exactly one; tiles give sums for each class
+and a spanning forest, never lists of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treequill.llm import textvec
-from treequill.llm.common import cut, table
+from treequill.llm.common import cut, join_counted, ship, table
 from treequill.llm.graph import components
 
 SHINGLE = 5
@@ -46,9 +47,13 @@ RECALL = 0.999
 COORDINATES = 48
 SLACK = 4.0
 #: A run starts with nodes of this depth, has no deeper nodes than the second number, and brute-forces buckets up to the third.
-START_DEPTH, MOST_DEPTH, BUCKET = 2, 8, 64
-#: Classes on a side of a verification tile.
-TILE = 256
+START_DEPTH, MOST_DEPTH, BUCKET = 2, 8, 4096
+#: Classes on a side of a tile, of signatures and of whole sets, and the bytes of sets that a side holds on average at most.
+SIDE, TILE, TILE_BYTES = 512, 256, 1 << 25
+#: What names a tile.
+TILE_KEYS = ("of", "low", "high")
+#: Rows of a signature tile that are compared with all others at a time.
+ROWS = 64
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = START_DEPTH) -> int:
@@ -109,18 +114,18 @@ def _signatures(rows: np.ndarray, values: np.ndarray, count: int, k: int) -> np.
 
 
 def _set_rows(shingle: int, k: int):
-    """Set digest, size and signature of each text."""
+    """Set digest, size and signature of each text, beside its doc_id and text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = textvec.column(batch, "doc_id")
+            ids, hashes = textvec.column(batch, "doc_id"), textvec.column(batch, "text_hash")
             for chunk in textvec.chunks(textvec.column(batch, "text")):
                 rows, values = _shingles(chunk, shingle)
                 signs = _signatures(rows, values, chunk.rows, k)
                 bounds = np.searchsorted(rows, np.arange(chunk.rows + 1))
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:], strict=False)]
-                cols = [ids.slice(chunk.first, chunk.rows), pa.array(digests, pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), pa.array([s.tobytes() for s in signs], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n_shingles", "signature"])
+                cols = [*(x.slice(chunk.first, chunk.rows) for x in (ids, hashes)), pa.array(digests, pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), pa.array([s.tobytes() for s in signs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "digest", "n_shingles", "signature"])
 
     return textvec.lean(run)
 
@@ -160,7 +165,7 @@ def _root_rows(runs: range, depth: int, threshold: float):
                 for _ in range(depth):
                     entry, keys = _children(keys, signs[at], threshold)
                     at = at[entry]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "rep").take(pa.array(at))], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "cls").take(pa.array(at))], names=["node", "cls"])
 
     return textvec.lean(run)
 
@@ -171,45 +176,66 @@ def _split_rows(threshold: float):
             signs = _matrix(textvec.column(batch, "signature"))
             entry, keys = _children(textvec.column(batch, "node").to_numpy().view(np.uint64), signs, threshold)
             at = pa.array(entry)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "rep").take(at), textvec.column(batch, "signature").take(at)], names=["node", "rep", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), textvec.column(batch, "cls").take(at), textvec.column(batch, "signature").take(at)], names=["node", "cls", "signature"])
 
     return textvec.lean(run)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from a stream that is sorted by it."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of one value of ``keys`` each, from a stream that is sorted by them."""
     held: list[pa.RecordBatch] = []
+    last: tuple = ()
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        keys = textvec.column(batch, key).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        columns = [textvec.column(batch, k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
-            if held and textvec.column(held[-1], key)[0].as_py() != keys[a]:
+            here = tuple(x[a] for x in columns)
+            if held and here != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
+            last = here
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the edges (a, b) among n nodes."""
-    parent = list(range(n))
+def _forest(similar: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix, as edges from where a node was met."""
+    left = np.ones(len(similar), dtype=bool)
+    out: list[tuple[int, int]] = []
+    for root in np.flatnonzero(similar.any(axis=1)).tolist():
+        if not left[root]:
+            continue
+        left[root] = False
+        open_ = [root]
+        for i in open_:
+            met = np.flatnonzero(similar[i] & left).tolist()
+            left[met] = False
+            out += [(i, j) for j in met]
+            open_ += met
+    return out
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+def _alike(signs: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of a matrix of signatures agree in ``least`` coordinates or more, by a byte of each; not with themselves."""
+    n, k = signs.shape
+    if n <= 16:
+        same = (signs[:, None, :] == signs[None, :, :]).sum(axis=2) >= least
+    else:
+        places = np.ascontiguousarray(signs.astype(np.uint8).T)
+        same = np.empty((n, n), dtype=bool)
+        for low in range(0, n, ROWS):
+            count = np.zeros((min(ROWS, n - low), n), dtype=np.uint8)
+            for place in places:
+                count += place[low : low + ROWS, None] == place[None, :]
+            same[low : low + ROWS] = count >= least
+    np.fill_diagonal(same, False)
+    return same
 
 
 def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -217,22 +243,17 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _bucket_rows(threshold: float, slack: float):
-    """Edges of a spanning forest of the classes in each bucket that look similar by signature."""
+    """Edges of a spanning forest of the classes in each tile that look similar by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for group in _groups(batches, "node"):
-            reps, signs = group["rep"].to_pylist(), _matrix(group["signature"].combine_chunks())
+        for group in _groups(batches, TILE_KEYS):
+            if group.num_rows < 2:
+                continue
+            ids, signs = group["cls"].to_numpy(), _matrix(group["signature"].combine_chunks())
             k = signs.shape[1]
-            least = k * threshold - slack * math.sqrt(k * threshold * (1 - threshold))
-            found = []
-            for i in range(len(reps) - 1):
-                same = (signs[i + 1 :] == signs[i]).sum(axis=1)
-                j = np.flatnonzero(same >= least) + i + 1
-                found.append(np.stack([np.full(len(j), i), j]))
-            if found:
-                pair = np.concatenate(found, axis=1)
-                edges += [(reps[i], reps[j]) for i, j in _forest(len(reps), pair[0], pair[1])]
+            same = _alike(signs, k * threshold - slack * math.sqrt(k * threshold * (1 - threshold)))
+            edges += [(int(ids[i]), int(ids[j])) for i, j in _forest(same)]
             if len(edges) > 10_000:
                 yield _edge_batch(edges)
                 edges = []
@@ -250,8 +271,8 @@ def _shingle_rows(shingle: int):
                 rows, values = _shingles(chunk, shingle)
                 bounds = np.searchsorted(rows, np.arange(chunk.rows + 1))
                 sets = pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-                kept = [textvec.column(batch, c).slice(chunk.first, chunk.rows) for c in ("rep", "root", "copies", "side", "tiles")]
-                yield pa.RecordBatch.from_arrays([*kept, sets], names=["rep", "root", "copies", "side", "tiles", "set"])
+                kept = [textvec.column(batch, c).slice(chunk.first, chunk.rows) for c in ("cls", "root", "copies", "side", "sides")]
+                yield pa.RecordBatch.from_arrays([*kept, sets], names=["cls", "root", "copies", "side", "sides", "set"])
 
     return textvec.lean(run)
 
@@ -286,14 +307,14 @@ def _tile_rows(threshold: float):
     part, whole = Fraction(threshold).limit_denominator(10**6).as_integer_ratio()
 
     def batch(links: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], names=["rep", "links", "other"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], names=["cls", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int | None]] = []
-        for group in _groups(batches, "tile"):
-            reps, side, copies = group["rep"].to_pylist(), group["side"].to_numpy(), group["copies"].to_numpy()
-            if len(reps) < 2:
+        for group in _groups(batches, TILE_KEYS):
+            if group.num_rows < 2:
                 continue
+            ids, side, copies = group["cls"].to_pylist(), group["side"].to_numpy(), group["copies"].to_numpy()
             low, high = group["low"][0].as_py(), group["high"][0].as_py()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in group["set"].to_pylist()]
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -304,9 +325,8 @@ def _tile_rows(threshold: float):
             if low != high:
                 similar &= side[:, None] != side[None, :]
             sums = similar @ copies
-            a, b = np.nonzero(np.triu(similar))
-            out += [(reps[i], int(sums[i]), None) for i in np.flatnonzero(sums).tolist()]
-            out += [(reps[i], 0, reps[j]) for i, j in _forest(len(reps), a, b)]
+            out += [(ids[i], int(sums[i]), None) for i in np.flatnonzero(sums).tolist()]
+            out += [(ids[i], 0, ids[j]) for i, j in _forest(similar)]
             if len(out) > 10_000:
                 yield batch(out)
                 out = []
@@ -315,100 +335,139 @@ def _tile_rows(threshold: float):
     return textvec.lean(run)
 
 
-def _streamed(df: DataFrame, key: str, function, schema: str) -> DataFrame:
-    """``function`` over the rows dealt and sorted by ``key``: groups pass one at a time."""
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(function, schema)
+def _tiled(rows: DataFrame, key: str, sides: Column, columns: Sequence[str], function, schema: str) -> DataFrame:
+    """``function`` over the square tiles of the rows of each ``key``, one at a time.
 
+    Rows are dealt to ``sides`` by their class. Tile (low, high) holds the sides low
+    and high, so a row is in as many tiles as its key has sides, and every two rows
+    of a key are in one tile at least, in just one if their sides differ.
+    """
+    placed = rows.withColumn("sides", sides.cast("long"))
+    if "side" not in rows.columns:
+        placed = placed.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("sides")))
+    one = placed.where("sides <= 1").select(F.col(key).alias("of"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "side", *columns)
+    spread = placed.where("sides > 1").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    many = spread.select(F.col(key).alias("of"), F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"), "side", *columns)
+    return one.union(many).repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "cls").mapInArrow(function, schema)
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, coordinates: int = COORDINATES, tile: int = TILE) -> DataFrame:
-    """(doc_id, rep, class_id, n_copies, n_links) of each row of ``docs`` (doc_id, text; others are ignored).
 
-    ``rep`` is the least doc_id of the rows with the same shingle set, ``n_copies``
-    how many those are. ``n_links`` counts the other rows whose sets are similar by
-    the threshold, equal ones included, and ``class_id`` is the least doc_id that
-    links lead to. Texts without words (null ones too) have equal sets, and a text
-    of fewer words than a shingle has itself as its only shingle. A null doc_id is
-    a row without links, of a class of its own: null. Rows that repeat a doc_id are
-    rows of their own if their sets are equal; with other sets they share a doc_id
-    and so a class. Empty tables give no rows.
+def _classified(texts: DataFrame, threshold: float, shingle: int, recall: float, coordinates: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``texts`` (doc_id, text, text_hash) as (doc_id, text_hash, digest), and their classes.
+
+    Classes have digest, the least row's doc_id and text_hash (rep, rep_hash),
+    copies, links, and of the class that stands for the group its rep (class_id)
+    and whether it is this one (chosen).
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(texts.where("doc_id is not null").mapInArrow(_set_rows(shingle, coordinates), "doc_id long, digest binary, n_shingles long, signature binary"))
-    classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
-    live = classes.where("n_shingles > 0")
-    # Chosen paths: only nodes that two classes share go on.
-    signs = live.select(F.col("rep").alias("_rep"), "signature")
+    schema = "doc_id long, text_hash long, digest binary, n_shingles long, signature binary"
+    sets = cut(texts.where("doc_id is not null").mapInArrow(_set_rows(shingle, coordinates), schema))
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    equal = sets.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    # The numbers hold because the classes are written.
+    classes = cut(equal.select(F.monotonically_increasing_id().alias("cls"), "digest", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "copies", "n_shingles", "signature"))
+    live = classes.where("n_shingles > 0").select("cls", "signature")
+    signs = live.withColumnRenamed("cls", "_cls")
+
+    def shared(found: DataFrame) -> DataFrame:
+        """The rows of ``found`` in nodes that two classes share, with the number of those classes."""
+        counts = cut(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        return join_counted(found, "node", counts, "n", total, largest)
 
     def rooted(some: DataFrame, runs: range) -> DataFrame:
-        found = some.select("rep", "signature").mapInArrow(_root_rows(runs, START_DEPTH, threshold), "node long, rep long")
-        found = found.join(found.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"), F.col("count").alias("_n")), F.col("node") == F.col("_node")).drop("_node")
-        return cut(found.join(signs, F.col("rep") == F.col("_rep")).select("node", "rep", "signature", F.col("_n").alias("n")))
+        found = shared(cut(some.mapInArrow(_root_rows(runs, START_DEPTH, threshold), "node long, cls long")))
+        return cut(found.join(signs, F.col("cls") == F.col("_cls")).select("node", "cls", "signature", "n"))
 
     first = runs_for(recall, threshold)
     nodes = rooted(live, range(first))
     more = range(first, deep_runs_for(recall, threshold, MOST_DEPTH))
     crowded = nodes.where(F.col("n") > BUCKET)
     if more and not crowded.isEmpty():
-        nodes = nodes.union(rooted(crowded.select("rep", "signature").dropDuplicates(["rep"]), more))
-    buckets = [nodes.where(F.col("n") <= BUCKET)]
-    for _ in range(START_DEPTH, MOST_DEPTH):
-        large = nodes.where(F.col("n") > BUCKET)
-        if large.isEmpty():
+        nodes = nodes.union(rooted(crowded.select("cls", "signature").dropDuplicates(["cls"]), more))
+    buckets = []
+    for depth in range(START_DEPTH, MOST_DEPTH + 1):
+        # The deepest nodes are brute-forced at any size.
+        large = nodes.where(F.col("n") > BUCKET) if depth < MOST_DEPTH else None
+        buckets.append(nodes if large is None else nodes.where(F.col("n") <= BUCKET))
+        if large is None or large.isEmpty():
             break
-        split = cut(large.select("node", "rep", "signature").mapInArrow(_split_rows(threshold), "node long, rep long, signature binary"))
-        sizes = split.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"), F.col("count").alias("n"))
-        nodes = cut(split.join(sizes, F.col("node") == F.col("_node")).drop("_node"))
-        buckets.append(nodes.where(F.col("n") <= BUCKET))
-    deepest = nodes.where(F.col("n") > BUCKET)
-    # What stays together is linked to its least class, and so verified whole.
-    least = deepest.groupBy("node").agg(F.min("rep").alias("a")).withColumnRenamed("node", "_node")
-    edges = None if deepest.isEmpty() else deepest.join(least, F.col("node") == F.col("_node")).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+        split = cut(large.select("node", "cls", "signature").mapInArrow(_split_rows(threshold), "node long, cls long, signature binary"))
+        nodes = cut(shared(split))
+    edges = None
     for bucket in buckets:
-        found = _streamed(bucket.select("node", "rep", "signature"), "node", _bucket_rows(threshold, SLACK), "a long, b long")
+        found = _tiled(bucket, "node", F.ceil(F.col("n") / SIDE), ["cls", "signature"], _bucket_rows(threshold, SLACK), "a long, b long")
         edges = found if edges is None else edges.union(found)
-    groups = cut(components(edges))
-    links, forest = _verify(texts, classes, groups, threshold, shingle, tile)
-    roots = components(forest).select(F.col("node").alias("_node"), "root")
-    named = classes.join(roots, F.col("rep") == F.col("_node"), "left").join(links, F.col("rep") == F.col("_linked"), "left")
+    members = components(edges).join(classes.select("cls", "rep", "rep_hash", "copies", "n_shingles"), F.col("node") == F.col("cls")).drop("node")
+    members = cut(members)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("tokens"))
+    # Verified groups lie within these, so the numbers hold for both.
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    sides = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("tokens") * 8 / TILE_BYTES)).cast("long")
+    placed = join_counted(members, "root", sizes.select("root", "n", sides.alias("sides")), "n", total, largest)
+    links, forest = _verify(texts, placed, threshold, shingle)
+    linked = components(forest).withColumnRenamed("node", "cls").join(classes.select(F.col("cls").alias("_cls"), "rep"), F.col("cls") == F.col("_cls")).drop("_cls")
+    linked = cut(linked)
+    tops = linked.groupBy("root").agg(F.min(F.struct("rep", "cls")).alias("top"), F.count(F.lit(1)).alias("n"))
+    tops = join_counted(linked.select("cls", "root"), "root", tops, "n", total, largest).select(F.col("cls").alias("_cls"), "top")
+    named = classes.join(tops, F.col("cls") == F.col("_cls"), "left").join(links, F.col("cls") == F.col("_linked"), "left")
     named = named.select(
-        F.col("digest").alias("_digest"), "rep", F.coalesce("root", "rep").alias("class_id"), F.col("copies").alias("n_copies"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "digest", "rep", "rep_hash", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("top.rep", "rep").alias("class_id"), (F.coalesce("top.cls", "cls") == F.col("cls")).alias("chosen"),
     )
-    out = sets.select("doc_id", "digest").join(named, F.col("digest") == F.col("_digest")).select("doc_id", "rep", "class_id", "n_copies", "n_links")
+    return sets.select("doc_id", "text_hash", "digest"), cut(named)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, coordinates: int = COORDINATES, tile: int = TILE) -> DataFrame:
+    """(doc_id, rep, class_id, n_copies, n_links) of each row of ``docs`` (doc_id, text; others are ignored).
+
+    ``rep`` is the least doc_id of the rows with the same shingle set, ``n_copies``
+    how many those are. ``n_links`` counts the other rows whose sets are similar by
+    the threshold, equal ones included, and ``class_id`` is the least doc_id that
+    links lead to. Texts without words (null ones too) have equal sets, and a text
+    of fewer words than a shingle has itself as its only shingle. A text of any
+    length is one set, whole. A null doc_id is a row without links, of a class of
+    its own: null. Rows that repeat a doc_id are rows of their own, whether their
+    sets are equal or not. Empty tables give no rows.
+    """
+    texts = _texts(docs)
+    sets, classes = _classified(texts, threshold, shingle, recall, coordinates, tile)
+    named = classes.select("digest", "rep", "class_id", F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    rows, most = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    out = join_counted(sets.select("doc_id", "digest"), "digest", named, "n_copies", rows, most).select("doc_id", "rep", "class_id", "n_copies", "n_links")
     lone = texts.where("doc_id is null").selectExpr("doc_id", "doc_id as rep", "doc_id as class_id", "1L as n_copies", "0L as n_links")
     return out.union(lone)
 
 
-def _verify(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, shingle: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(_linked, links) and the forest (a, b) of the verified links of the classes in ``groups`` (node, root)."""
-    sizes = groups.groupBy("root").count().select(F.col("root").alias("_root"), F.ceil(F.col("count") / tile).cast("long").alias("tiles"))
-    members = groups.join(sizes, F.col("root") == F.col("_root")).select("node", "root", "tiles")
-    members = members.join(classes.select("rep", "copies"), F.col("node") == F.col("rep"))
-    members = members.select("rep", "root", "copies", F.pmod(F.xxhash64("rep"), F.col("tiles")).alias("side"), "tiles")
-    # One text for each class: rows that repeat a doc_id may differ, so the least text of the class's own doc_id stands for it.
-    whole = texts.join(members, F.col("doc_id") == F.col("rep")).select("rep", "root", "copies", "side", "tiles", "text")
-    sets = whole.mapInArrow(_shingle_rows(shingle), "rep long, root long, copies long, side long, tiles long, set binary").dropDuplicates(["rep"])
-    # Tile (low, high) of a group holds the sides low and high: a class is in as many tiles as its group has sides.
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    placed = sets.select("*", others.alias("_other")).select("rep", "copies", "side", "set", "root", F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"))
-    tiled = placed.withColumn("tile", F.xxhash64("root", "low", "high"))
-    found = cut(_streamed(tiled.select("tile", "low", "high", "rep", "copies", "side", "set"), "tile", _tile_rows(threshold), "rep long, links long, other long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).select(F.col("rep").alias("_linked"), "links")
-    return links, found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-
-
-def representatives(docs: DataFrame, **options) -> DataFrame:
+def _verify(texts: DataFrame, placed: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(_linked, links) and the forest (a, b) of the verified links of the classes in ``placed`` (cls, root, rep, rep_hash, copies, sides)."""
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("sides")))
+    whole = texts.join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("cls", "root", "copies", "side", "sides", "text")
+    # Rows that repeat a doc_id and its text give their class's set more than once.
+    sets = whole.mapInArrow(_shingle_rows(shingle), "cls long, root long, copies long, side long, sides long, set binary").dropDuplicates(["cls"])
+    found = cut(_tiled(sets, "root", F.col("sides"), ["cls", "copies", "set"], _tile_rows(threshold), "cls long, links long, other long"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links")).select(F.col("cls").alias("_linked"), "links")
+    return links, found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, coordinates: int = COORDINATES, tile: int = TILE) -> DataFrame:
     """The rows of ``docs`` that stand for their group: of each class of linked rows the one with the least doc_id.
 
     All columns are kept, and so are rows with a null doc_id. Of rows that repeat
-    a doc_id one stays.
+    a doc_id and its text one stays; rows that repeat a doc_id with texts that are
+    not alike all stay.
     """
-    joined = join(docs.select("doc_id", "text"), **options)
-    chosen = cut(joined.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    ids = chosen.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-    if not chosen.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    texts = _texts(docs)
+    sets, classes = _classified(texts, threshold, shingle, recall, coordinates, tile)
+    chosen = classes.where("chosen").select(F.col("rep").alias("_rep"), "rep_hash")
+    stands = lambda rows, digest: (rows["doc_id"] == chosen["_rep"]) & (digest == chosen["rep_hash"])
+    kept = docs.join(chosen, stands(docs, F.xxhash64(docs["text"])), "left_semi")
+    repeats = sets.join(chosen, stands(sets, sets["text_hash"]), "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where("doc_id is null"))
 
 
