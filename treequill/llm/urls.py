@@ -4,8 +4,9 @@ A URL is judged by the longest rule that fits it. Where none fits, the verdict
 is the list's: a listed canonical URL is blocked. The list's Bloom filter is cut
 into blocks of eight 64-bit words; a URL's hash names one block and one bit in
 each word. Blocks are rows, so building is one aggregation with ``bit_or`` and
-probing one broadcast hash join on the block number. Rows that pass go to an
-exact join with the list, which removes the false positives.
+probing one hash join on the block number, with the blocks broadcast while they
+are few. Only rows that pass go to an exact join with the list, which removes the
+false positives; their URLs are counted first, so popular ones stay spread.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treequill.llm.common import table
+from treequill.llm.common import cut, join_counted, table
 
 #: (host, path, verdict). A rule fits its host and all subdomains, for paths that start with its path.
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Bits that a listed URL gets, and the most blocks (64 bytes each) that a filter may have: 4 MB are broadcast at most.
+#: Bits that a listed URL gets, and the most blocks (64 bytes each) that are broadcast: 4 MB. A larger filter meets rows by block.
 BITS_PER_URL = 16
 MAX_BLOCKS = 1 << 16
 WORDS = 8
@@ -74,10 +75,10 @@ def _bits(spread: str) -> list[Column]:
 def build_filter(listed: DataFrame, column: str = "url", blocks: int | None = None) -> tuple[DataFrame, int]:
     """(block, w0..w7) rows of the non-empty blocks of the filter of ``listed[column]``, and the number of blocks.
 
-    The number follows the list, up to MAX_BLOCKS; a longer list only lets more false positives through.
+    The number follows the list.
     """
     if blocks is None:
-        blocks = min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS))))
+        blocks = max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS)))
     where, spread = _hashes(F.col(column))
     hashed = listed.where(F.col(column).isNotNull()).select(F.pmod(where, F.lit(blocks)).alias("block"), spread.alias("_spread"))
     marked = hashed.select("block", *[b.alias(f"w{i}") for i, b in enumerate(_bits("_spread"))])
@@ -85,10 +86,10 @@ def build_filter(listed: DataFrame, column: str = "url", blocks: int | None = No
 
 
 def probe(rows: DataFrame, column: str, filter_rows: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` with ``maybe``: false only if ``column`` is certainly not in the filter. The filter has MAX_BLOCKS rows at most."""
+    """``rows`` with ``maybe``: false only if ``column`` is certainly not in the filter."""
     where, spread = _hashes(F.col(column))
     keyed = rows.withColumns({"_at": F.pmod(where, F.lit(blocks)), "_spread": spread})
-    joined = keyed.join(F.broadcast(filter_rows), F.col("_at") == F.col("block"), "left")
+    joined = keyed.join(F.broadcast(filter_rows) if blocks <= MAX_BLOCKS else filter_rows, F.col("_at") == F.col("block"), "left")
     hit = F.lit(True)
     for i, b in enumerate(_bits("_spread")):
         hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
@@ -99,7 +100,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES) ->
     """(page_id, host, path, rule, verdict, listed) of each row of ``pages`` (page_id, url); ``listed`` has canonical URLs in column url.
 
     Null URLs and those without ``://`` have an empty host and path; they fit no
-    rule, and the empty canonical URL is never listed. Repeated rows are judged
+    rule, and the empty canonical URL is never listed. URLs of any length are
+    judged whole. Repeated rows are judged
     alike; repeats and nulls in the list don't matter. Other columns of either
     table are ignored. An empty list blocks nothing.
     """
@@ -109,15 +111,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES) ->
     exact = listed.select(F.col("url").alias("_listed")).where(F.col("_listed").isNotNull() & (F.col("_listed") != "")).distinct()
     bloom, blocks = build_filter(exact, "_listed")
     probed = probe(known, "_canonical", bloom, blocks)
-    # Rows that the filter rules out match nothing, so keys of their own spread them over the exact join's tasks.
-    key = F.when(F.col("maybe"), F.concat(F.lit("u"), "_canonical")).otherwise(F.concat(F.lit("n"), F.xxhash64("page_id").cast("string")))
-    met = probed.withColumn("_ask", key).join(exact.withColumn("_key", F.concat(F.lit("u"), "_listed")), F.col("_ask") == F.col("_key"), "left")
-    hit = F.col("_listed").isNotNull()
+    possible = probed.where("maybe").drop("maybe")
+    asked = possible.groupBy("_canonical").agg(F.count(F.lit(1)).alias("_n"))
+    answers = cut(asked.join(exact, F.col("_canonical") == F.col("_listed"), "left").select("_canonical", "_n", F.col("_listed").isNotNull().alias("listed")))
+    total, largest = answers.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    met = join_counted(possible, "_canonical", answers, "_n", total, largest).drop("_n")
+    met = met.union(probed.where("not maybe").drop("maybe").withColumn("listed", F.lit(False)))
+    hit = F.col("listed")
     verdicts = {rule_name(r): r[2] for r in rules}
     of_rule = F.lit(None).cast("string")
     for name, verdict in verdicts.items():
         of_rule = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(of_rule)
-    return met.select("page_id", "host", "path", "rule", F.coalesce(of_rule, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), hit.alias("listed"))
+    return met.select("page_id", "host", "path", "rule", F.coalesce(of_rule, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
 
 
 def recurring(pages: DataFrame, least: int = 2) -> DataFrame:
