@@ -34,10 +34,12 @@ def record(url: Column, body: Column, page_id: Column) -> Column:
 def records(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
     """(page_id, warc_file, url, bytes, length) of the record of each row of ``pages`` (page_id, url, html; others are ignored).
 
-    Files are dealt by the hash of page_id and hold ``per_file`` records on average. Null page_ids share a file.
+    Files are dealt by the hash of page_id and hold ``per_file`` records on average;
+    a row with a null page_id is dealt by the hash of its url and html. Pages of any
+    length are one record each, whole.
     """
     files = max(1, -(-pages.count() // per_file))
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.xxhash64("url", "html").cast("string"))), 1, 8), 16, 10).cast("long")
     rows = pages.select("page_id", (number % files).alias("warc_file"), F.coalesce("url", F.lit("")).alias("url"), record(F.col("url"), F.col("html"), F.col("page_id")).alias("bytes"))
     return rows.withColumn("length", F.octet_length("bytes").cast("long"))
 
@@ -79,17 +81,18 @@ def above(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def tree(bottom: DataFrame, records: int, files: int, fanout: int = FANOUT) -> tuple[list[DataFrame], int]:
     """All levels (grp, idx, hash) from the records to the root, for at most ``records`` records in each of ``files`` files.
 
+    Each level is written once; those above the records are a fanout smaller each.
     The second result is the level that holds the files' roots again, as the leaves of the archive's tree.
     """
     levels, width = [bottom], records
     while width > 1:
-        levels.append(above(levels[-1], fanout))
+        levels.append(cut(above(levels[-1], fanout)))
         width = -(-width // fanout)
     joint = len(levels)
     levels.append(levels[-1].select(F.lit(-1).cast("long").alias("grp"), F.col("grp").alias("idx"), "hash"))
     width = files
     while width > 1:
-        levels.append(above(levels[-1], fanout))
+        levels.append(cut(above(levels[-1], fanout)))
         width = -(-width // fanout)
     return levels, joint
 
