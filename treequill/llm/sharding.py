@@ -78,10 +78,9 @@ def shard_of(key: Column, tree: Tree) -> Column:
 def assign(docs: DataFrame, tree: Tree = EIGHT, grown: Tree | None = None, slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Shard, slot and next shard of every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    doc_id and the tree decide; texts do not matter. Null texts have size 1 and
+    doc_id and the tree decide; texts do not matter, however long. Null texts have size 1 and
     the checksum of the empty text. Null doc_ids share one hash and so one shard.
-    Rows that repeat a doc_id go to the same shard and get slots of their own,
-    in order of checksum and size. Empty tables give no rows.
+    Rows that repeat a doc_id go to the same shard and get slots of their own. Empty tables give no rows.
     """
     grown = grow(tree) if grown is None else grown
     key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
@@ -93,7 +92,7 @@ def assign(docs: DataFrame, tree: Tree = EIGHT, grown: Tree | None = None, slot_
         shard_of(key, tree).alias("shard"),
         shard_of(key, grown).alias("grown_shard"),
     )
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(slot_buckets)).cast("int")
     out = number_within(placed, "shard", bucket, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
