@@ -2,10 +2,12 @@
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from treequill.llm import mixing, quality_rules, sharding, urls
 
@@ -58,8 +60,57 @@ def test_rule_order_changes_no_verdict(docs):
 
 
 def test_rules_are_ordered_by_rejection_per_cost():
-    a, b, c = quality_rules.RULES[:3]
-    assert quality_rules.ordered([(a, 1.0, 0.1), (b, 0.1, 0.05), (c, 0.1, 0.0)]) == [b, a, c]
+    a, b, c, d = quality_rules.RULES[:4]
+    of = lambda rule, seconds, *rows: quality_rules.Measured(rule, seconds, tuple(i in rows for i in range(10)))
+    assert quality_rules.ordered([of(a, 1.0, 1, 2), of(b, 0.1, 1), of(c, 0.1)]) == [b, a, c]
+    # What an earlier rule rejects counts no more: b rejects much, but nothing that a leaves.
+    assert quality_rules.ordered([of(a, 1.0, 1, 2, 3, 4, 5), of(b, 1.0, 1, 2, 3, 4), of(c, 1.0, 6, 7), of(d, 0.5)]) == [a, c, d, b]
+    assert quality_rules.ordered([]) == [] and len(quality_rules.ordered([of(a, 0.0), of(b, 0.0)])) == 2
+
+
+def test_rules_are_measured_on_the_rows_that_reach_them(docs):
+    for m in quality_rules.measure(docs, quality_rules.RULES):
+        assert len(m.fails) == sum(not r.base_failed for r in quality_rules.judge(docs, order=[]).collect()) and m.seconds >= 0
+
+
+def test_very_long_texts(spark):
+    """Repeats without end, and as many of them as there are windows."""
+    cycle = " ".join(f"w{i % 9000}" for i in range(256_000))
+    fresh = " ".join(f"w{i}" for i in range(256_000))
+    texts = [(1, cycle), (2, fresh), (3, "word " * 256_000), (4, fresh + "\n" + "a b c d e a b c d e")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = quality_rules.judge(frame, order=list(quality_rules.RULES)).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got} == {i: facts(t) for i, t in texts}
+    assert {r.doc_id: r.size for r in sharding.assign(frame).collect()} == {i: len(t) + 1 for i, t in texts}
+
+
+def test_columns_named_like_outputs(spark, docs):
+    odd = docs.selectExpr("doc_id", "text", "source", "'x' as n_words", "'y' as lane", "'z' as slot", "1 as kept", "2 as size", "3 as block")
+    assert Counter(quality_rules.judge(odd).collect()) == Counter(quality_rules.judge(docs).collect())
+    assert Counter(sharding.assign(odd).collect()) == Counter(sharding.assign(docs).collect())
+    assert Counter(mixing.mix(odd).collect()) == Counter(mixing.mix(docs).collect())
+
+
+def descend(key, tree):
+    """The shard of a key by drawing at each level, as the definition says: xxHash64 with seed 42, chained over key and path."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    weight = lambda node: sum(map(weight, node)) if isinstance(node, tuple) else node
+    draw = lambda path, w: -math.log(((xxhash.xxh64_intdigest(path.encode(), seed=seed) >> 12) + 0.5) / 2**52) / w
+    path, node = [], tree
+    while isinstance(node, tuple):
+        alive = [i for i, child in enumerate(node) if weight(child) > 0]
+        best = min(alive, key=lambda i: draw("/".join(map(str, [*path, i])), weight(node[i])))
+        path, node = [*path, best], node[best]
+    shards = [(r, k, s) for r, region in enumerate(tree) for k, rack in enumerate(region) for s in range(len(rack))]
+    return shards.index(tuple(path))
+
+
+@pytest.mark.parametrize("tree", [sharding.EIGHT, (((1.0, 2.0), (0.5,)), ((0.0, 3.0), (1.0, 1.0, 0.25)), ((0.0,),))])
+def test_shards_against_brute_force(spark, tree):
+    keys = [*range(500), -1, 2**62, None]
+    frame = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(frame, tree).collect()}
+    assert got == {k: (descend(k, tree), descend(k, sharding.grow(tree))) for k in keys}
 
 
 def test_empty_tables(spark, docs):
@@ -169,3 +220,12 @@ def test_bloom_filter_has_no_false_negatives_and_the_join_no_false_positives(spa
     assert urls.probe(rows, "url", tiny, one).where("maybe").count() == 6000
     pages = rows.selectExpr("id as page_id", "concat('http://', url) as url")
     assert urls.judge(pages, listed).where("verdict = 'block'").count() == 3000
+
+
+def test_filters_over_the_broadcast_bound_meet_rows_by_block(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_BLOCKS", 4)
+    listed = spark.range(2000).selectExpr("concat('host', id, '.com/x') as url")
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://host', id % 3000, '.com/x') as url").union(spark.createDataFrame([(i, "http://host7.com/x") for i in range(2000)], "page_id long, url string"))
+    got = urls.judge(pages, listed)
+    assert got.where("verdict = 'block'").count() == 2000 + 1000 + 2000 and got.count() == 6000
+    assert got.where("verdict = 'block' and not listed").count() == 0
