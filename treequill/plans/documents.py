@@ -146,35 +146,34 @@ DOC = (
     "concat('<r', CASE WHEN p_size % 2 = 0 THEN ' xmlns:q=\"urn:q\"' ELSE '' END, ' xmlns:p=\"urn:p', p_size % 3, '\" key=\"', p_partkey, '\" xml:lang=\"', CASE WHEN p_size % 2 = 0 THEN 'de-AT' ELSE 'en' END, '\" xml:base=\"http://h/', p_size, '/\">',"
     " '<!--note ', p_size, '--><p:a k=\"', p_size, '\" xml:id=\"i', p_size % 5, '\">some &amp;lt; ', p_brand, '</p:a>', CASE WHEN p_size % 7 = 0 THEN '<b/>' ELSE '' END, '<?pi data ', p_size, '?><b " + XSI + " xsi:nil=\"', CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'false' END, '\"></b></r>')"
 )
-KEY = "CAST(p_partkey AS VARCHAR)"
-#: name -> (expression for each root $r, DuckDB SQL of its value)
+#: name -> (expression over all documents, DuckDB SQL of its values, of a row of part each)
 NODE_VALUES = {
-    "node_lang": ("lang('de', $r)", "p_size % 2 = 0"),
-    "node_base_uri": ("string(base-uri($r))", "'http://h/' || p_size || '/'"),
-    "node_names": ("string-join(for $n in $r/* return concat(local-name($n), ' ', namespace-uri($n)), ';')", "'a urn:p' || p_size % 3 || ';' || CASE WHEN p_size % 7 = 0 THEN 'b ;' ELSE '' END || 'b '"),
-    "node_root": ("string(root($r))", "'some &lt; ' || p_brand"),
-    "node_prefixes": ("count(in-scope-prefixes($r))", "CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END::BIGINT"),
-    "node_prefix_uri": ("string(namespace-uri-for-prefix('p', $r))", "'urn:p' || p_size % 3"),
-    "node_resolve_QName": ("string(namespace-uri-from-QName(resolve-QName('p:z', $r)))", "'urn:p' || p_size % 3"),
-    "node_is": ("$r/b[1] is $r/*[last()]", "p_size % 7 <> 0"),
-    "node_before": ("boolean($r/b[not(@*)] << $r/b[@*])", "p_size % 7 = 0"),
-    "node_after": ("$r/*[last()] >> $r/*[2]", "p_size % 7 = 0"),
-    "node_comment": ("string($r/comment())", "'note ' || p_size"),
-    "node_pi": ("string($r/processing-instruction('pi'))", "'data ' || p_size"),
-    "node_text": ("string-length(string-join($r/*/text(), ''))", "length('some &lt; ' || p_brand)"),
-    "node_attribute_axis": ("sum($r/*/attribute::k) + count($r/@*)", "(p_size + 3)::DOUBLE"),
-    "node_element_test": ("count($r/element(b)) * 10 + count($r/*/attribute(k))", "CASE WHEN p_size % 7 = 0 THEN 21 ELSE 11 END::BIGINT"),
-    "node_nilled": ("nilled($r/*[last()])", "p_size % 3 = 0"),
-    "node_data": ("number(data($r/*[1]/@k)) * 2", "(p_size * 2)::DOUBLE"),
+    "node_lang": ("for $r in /r return lang('de', $r)", "p_size % 2 = 0"),
+    "node_base_uri": ("for $r in /r return string(base-uri($r))", "'http://h/' || p_size || '/'"),
+    "node_root": ("for $r in /r return string(root($r))", "'some &lt; ' || p_brand"),
+    "node_prefixes": ("for $r in /r return count(in-scope-prefixes($r))", "CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END::BIGINT"),
+    "node_prefix_uri": ("for $r in /r return string(namespace-uri-for-prefix('p', $r))", "'urn:p' || p_size % 3"),
+    "node_resolve_QName": ("for $r in /r return string(namespace-uri-from-QName(resolve-QName('p:z', $r)))", "'urn:p' || p_size % 3"),
+    "node_names": ("/r/*:a/concat(local-name(.), ' ', namespace-uri(.), ' ', name(.))", "'a urn:p' || p_size % 3 || ' p:a'"),
+}
+#: name -> (path, namespaces, DuckDB SQL of the documents and values that it finds)
+NODE_PATHS = {
+    "node_comment": ("/r/comment()", {}, "SELECT p_partkey AS doc, 'note ' || p_size AS value FROM part"),
+    "node_pi": ("/r/processing-instruction('pi')", {}, "SELECT p_partkey AS doc, 'data ' || p_size AS value FROM part"),
+    "node_text": ("/r/*/text()", {}, "SELECT p_partkey AS doc, 'some &lt; ' || p_brand AS value FROM part"),
+    "node_attribute_axis": ("/r/*/attribute::k", {}, "SELECT p_partkey AS doc, p_size::VARCHAR AS value FROM part"),
+    "node_element_test": ("/r/element(b)", {}, "SELECT p_partkey AS doc, '' AS value FROM part UNION ALL SELECT p_partkey, '' FROM part WHERE p_size % 7 = 0"),
+    "node_prefixed": ("/r/p:a/@k", {"p": "urn:p1"}, "SELECT p_partkey AS doc, p_size::VARCHAR AS value FROM part WHERE p_size % 3 = 1"),
+    "node_id": ("id('i3')", {}, "SELECT p_partkey AS doc, 'some &lt; ' || p_brand AS value FROM part WHERE p_size % 5 = 3"),
 }
 
 
 def _node_value(expression: str):
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        engine = Engine(spark).nodes(lineage.cut(shred.shred(_parts(spark, folder, DOC))))
-        return engine.query(f"for $r in /r return (string($r/@key), {expression})", ["k", "v"])
+    return lambda spark, folder: _nodes(spark, folder).query(expression).toDF("v")
 
-    return run
+
+def _node_path(path: str, namespaces: dict):
+    return lambda spark, folder: _nodes(spark, folder, namespaces=namespaces).query(path).select("doc", "value")
 
 
 def _nodes(spark: SparkSession, folder: str, **static) -> Engine:
@@ -244,6 +243,7 @@ def _hidden_schema(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OTHERS = {
+    "node_nilled": (_node_value("/r/b/nilled(.)"), "SELECT p_size % 3 = 0 AS v FROM part UNION ALL SELECT false FROM part WHERE p_size % 7 = 0"),
     "node_counts": (_node_counts, NODE_COUNTS_SQL),
     "node_types": (_by_type, "SELECT p_partkey AS doc, 'D' AS type FROM part WHERE p_size % 4 IN (0, 3) UNION ALL SELECT p_partkey, 'integer' FROM part WHERE p_size % 4 = 0"),
     "psvi": (_psvi, "SELECT p_partkey AS doc, '/r/' || CASE p_size % 4 WHEN 0 THEN 'm' WHEN 3 THEN 'h' ELSE 'n' END AS path, CASE p_size % 4 WHEN 0 THEN 'int' WHEN 3 THEN 'integer' ELSE 'positiveInteger' END AS type, CASE WHEN p_size % 4 IN (1, 3) THEN 'invalid' ELSE 'valid' END AS validity FROM part"),
@@ -257,5 +257,6 @@ OTHERS = {
 #: name -> (query, DuckDB SQL)
 QUERIES = {name: (_validated(schema, xml, options), _faults(cases)) for name, (schema, xml, cases, options) in VALIDATION.items()}
 QUERIES |= {name: (_validated(schema, xml, options, FILES), _faults(cases)) for name, (schema, xml, cases, options) in COMPOSED.items()}
-QUERIES |= {name: (_node_value(expression), f"SELECT {KEY} AS k, {sql} AS v FROM part") for name, (expression, sql) in NODE_VALUES.items()}
+QUERIES |= {name: (_node_value(expression), f"SELECT {sql} AS v FROM part") for name, (expression, sql) in NODE_VALUES.items()}
+QUERIES |= {name: (_node_path(path, namespaces), sql) for name, (path, namespaces, sql) in NODE_PATHS.items()}
 QUERIES |= OTHERS
