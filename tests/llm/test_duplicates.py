@@ -83,6 +83,15 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.parse(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substring_dedup_of_repeated_ids_with_other_texts(spark):
+    """Of a passage at two places of rows that share a doc_id the one at the least place stays, in any order of the rows."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(5, passage + " tail"), (5, " ".join(f"h{i}" for i in range(10)) + " " + passage), (7, passage)]
+    for order in (rows, rows[::-1]):
+        got = substring_dedup.parse(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(5, 21, 0), (5, 30, 20), (7, 20, 20)]
+
+
 def test_least_is_leftmost():
     rng = np.random.default_rng(0)
     for width in (1, 2, 3, 5, 8, 13):

@@ -219,7 +219,7 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     columns ``keep`` of ``docs`` follow doc_id as ``keep_0`` and so on: no name clashes. Null and empty texts have no words, and no
     text shorter than a window loses any. Where rows repeat a doc_id, equal
     windows at equal places are one window, so exact repeats keep what the first
-    keeps. Rows with a null doc_id count as one document after all others. Empty tables give no rows.
+    keeps, and of different places the least is the earliest. Rows with a null doc_id count as one document after all others. Empty tables give no rows.
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")
@@ -231,6 +231,9 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     packed_schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in texts.schema)
     known = texts.mapInArrow(textvec.lean(_packed_rows), packed_schema).join(singles.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     indexed = known.mapInArrow(_window_rows(window, seed), "w1 long, w2 int, doc_id long, place int")
+    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Rows that share a doc_id may hold a window at several places: its least one counts.
+        indexed = indexed.groupBy("w1", "w2", "doc_id").agg(F.min("place").alias("place"))
     first = indexed.groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
     tag = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF)))
     firsts = first.select("doc_id", tag.alias("tag")).groupBy("doc_id").agg(F.collect_list("tag").alias("firsts"))
