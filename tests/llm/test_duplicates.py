@@ -73,6 +73,47 @@ def test_substring_dedup_against_brute_force(spark, seed):
     for r in got:
         assert sum(s.length for s in r.spans) == r.n_removed
         assert all(s.length >= 20 for s in r.spans)
+        assert [s for s in r.factors if s.length < 1] == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_factors_rebuild_the_texts(spark, seed):
+    """Each factor's words stand at its source, which is earlier; matches have a window or more; no factor overlaps the next."""
+    rows = corpus(150, seed)
+    words = {r[0]: words_of(r[1]) for r in rows}
+    got = substring_dedup.parse(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sum(len(r.factors) for r in got) > 20
+    for r in got:
+        at, left = 0, " ".join(words_of(r.kept_text)).split()
+        built = []
+        for f in r.factors:
+            assert f.start >= at and (f.source_doc, f.source_start) < (r.doc_id, f.start)
+            built += left[: f.start - at]
+            del left[: f.start - at]
+            for k in range(f.length):
+                source = built if f.source_doc == r.doc_id else words[f.source_doc]
+                built.append(source[f.source_start + k])
+            at = f.start + f.length
+        assert built + left == words[r.doc_id]
+        assert sum(f.length for f in r.factors) == r.n_removed
+
+
+def test_probes_of_common_windows_meet_the_broadcast(spark, monkeypatch):
+    """Windows over the limit and under it, answered either way, give the same factors."""
+    rows = corpus(150, 4)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(repr, substring_dedup.parse(frame).collect()))
+    for least, share in ((1, 1000), (2, 3)):
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", share)
+        assert sorted(map(repr, substring_dedup.parse(frame).collect())) == want
+
+
+def test_factors_follow_their_sources():
+    """A factor goes on along one source, ends where the source changes, and begins behind the one before."""
+    places, docs, sources = (np.array(c) for c in ([3, 10, 18, 60], [1, 1, 2, 2], [5, 12, 40, 82]))
+    got = [c.tolist() for c in substring_dedup._factors(places, docs, sources, 20)]
+    assert got == [[3, 30, 60], [27, 8, 20], [1, 2, 2], [5, 52, 82]]
 
 
 def test_substring_dedup_edges(spark):
