@@ -307,8 +307,9 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep: Sequenc
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
         # Rows that share a doc_id may hold a window at several places: its least one counts.
         indexed = indexed.groupBy("w1", "w2", "doc_id").agg(F.min("place").alias("place"))
-    # All that reads the index reads the same columns of it, so that it is exchanged once; the count stays for the filter.
-    first = indexed.groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    # All that reads the index reads the same columns and rows of it, so that it is exchanged once: the count stays for the filter,
+    # and joins would have the optimizer add the test on nulls for some readers only.
+    first = indexed.where("w1 is not null and w2 is not null").groupBy("w1", "w2").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 0")
     tag = lambda place, w1: F.shiftleft(F.col(place).cast("long"), 32).bitwiseOR(F.col(w1).bitwiseAND(F.lit(0xFFFFFFFF)))
     firsts = first.select("doc_id", tag("place", "w1").alias("tag")).groupBy("doc_id").agg(F.collect_list("tag").alias("firsts"))
     probes = _with(known, firsts).mapInArrow(_probe_rows(window, seed), "p1 long, p2 int, doc_id long, at int")
