@@ -138,3 +138,15 @@ def test_plans_are_joins_not_loops(tables):
     assert "Aggregate" in grouped and "Join" not in grouped
     limited = tables.query("/emp/row[position() <= 2]/id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in limited and "Window" not in limited
+
+
+def test_every_unequal_is_an_anti_join(spark):
+    lines = spark.createDataFrame([(1, 5), (2, 60), (3, 60), (None, 7)], "k long, q long")
+    orders = spark.createDataFrame([(1,), (2,), (3,), (None,)], "o long")
+    engine = Engine(spark).table("lines", lines, ["k"]).table("orders", orders, ["o"])
+    text = "for $o in /orders/row[every $l in /lines/row[q > {}] satisfies $l/k != o] return concat('o', $o/o)"
+    found = lambda q: sorted(r["item"] for r in engine.query(text.format(q)).collect())
+    # A missing side makes a comparison false, unless nothing is compared.
+    assert found(50) == ["o1"] and found(6) == [] and found(99) == ["o", "o1", "o2", "o3"]
+    physical = engine.query(text.format(50))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in physical and "Cartesian" not in physical

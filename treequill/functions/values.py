@@ -430,16 +430,29 @@ def _pair(op: str, a: Val, b: Val) -> str:
     if a.type == b.type == "untyped" and a.numeric and b.numeric:
         values = compare(op, cast(a, "double", True), cast(b, "double", True))
         return f"(case when {a.numeric} and {b.numeric} then {values} else {compare(op, a, b)} end)"
-    if a.type == "untyped" and b.type != "untyped":
-        a = cast(a, "double" if b.type in NUMERIC else "string" if b.type in TEXTUAL else b.type, True)
-    elif b.type == "untyped" and a.type != "untyped":
-        b = cast(b, "double" if a.type in NUMERIC else "string" if a.type in TEXTUAL else a.type, True)
+    a, b = _alike(a, b)
     try:
         return compare(op, a, b)
     except XPathError:
         return "false"
 
 
+def _alike(a: Val, b: Val) -> tuple[Val, Val]:
+    """A pair with untyped operands in the other's type; null is what isn't in its lexical space."""
+    if a.type == "untyped" and b.type != "untyped":
+        return cast(a, "double" if b.type in NUMERIC else "string" if b.type in TEXTUAL else b.type, True), b
+    if b.type == "untyped" and a.type != "untyped":
+        return a, cast(b, "double" if a.type in NUMERIC else "string" if a.type in TEXTUAL else a.type, True)
+    return a, b
+
+
+def unequal(a: Val, b: Val) -> tuple[str, tuple[str, str]] | None:
+    """What makes ``a != b`` false, of single items: SQL of their equality, and of the sides that may be null. None where a null has more than one cause, or NaN is compared."""
+    a, b = _alike(a, b)
+    plain = a.type == b.type and a.type in (*TEXTUAL, "integer", "decimal", "boolean") or {a.type, b.type} <= {"integer", "decimal"} or a.type in TEXTUAL and b.type in TEXTUAL
+    return (compare("eq", a, b), (a.sql, b.sql)) if plain else None
+
+
 def general_compare(op: str, a: Val, b: Val) -> Val:
     """Is there a pair of items that compares so? Orders against a sequence need its least or greatest item only."""
     if a.type == "empty" or b.type == "empty":

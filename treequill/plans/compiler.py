@@ -15,6 +15,7 @@ only test nothing and read nothing cost nothing: unread columns are pruned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -22,7 +23,7 @@ from treequill.functions import datetimes, sequences, strings  # noqa: F401  (th
 from treequill.functions.registry import Catalog
 from treequill.functions.values import (
     EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, canonical_text, cast, castable, ebv, error, first, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
-    text_literal, truth, value_compare, as_text,
+    text_literal, truth, unequal, value_compare, as_text,
 )
 from treequill.types import lexical
 from treequill.xpath import ast as A
@@ -759,6 +760,8 @@ class Compiler:
         if exists_ and wraps:
             raise XPathError("XPST0003", "a quantifier binds paths or sequences, not both")
         if exists_:
+            if e.every and place.where and (found := self.never_equal(Rel(tuple(frm), tuple(where), EMPTY), e.test, inner)):
+                return boolean(found)
             rel, value = self.with_beside(Rel(tuple(frm), tuple(where), EMPTY), lambda: self.value(e.test, inner))
             found = self.any(rel.also(f"NOT ({ebv(value)})" if e.every else truth(value)), place)
             return boolean(f"(NOT {found})" if e.every else found)
@@ -767,6 +770,26 @@ class Compiler:
             test = f"coalesce({'forall' if e.every else 'exists'}({items}, {x} -> {test}), {'true' if e.every else 'false'})"
         return boolean(test)
 
+    def never_equal(self, rel: Rel, test: A.Expr, place: Place) -> str | None:
+        """SQL of ``every … satisfies a != b`` as tests that join by equality: no pair is equal, and no row lacks a side. None for other tests."""
+        if not (isinstance(test, A.Binary) and test.op == "!=" and self.static.mode == "2.0") or any(self.relation(x, place) is not None for x in (test.left, test.right)):
+            return None
+        rel, sides = self.with_beside(rel, lambda: [self.value(x, place) for x in (test.left, test.right)])  # type: ignore[arg-type, return-value]
+        if any(v.seq or v.numeric or v.type == "empty" for v in sides):  # type: ignore[attr-defined]
+            return None
+        found = unequal(*sides)  # type: ignore[misc]
+        if found is None:
+            return None
+        equal, values = found
+        own = [f.rpartition(" ")[2] for f in rel.frm]
+        tests = [f"NOT EXISTS ({rel.also(equal).sql('1')})"]
+        for v in values:
+            if any(re.search(rf"\b{alias}\.", v) for alias in own):
+                tests.append(f"NOT EXISTS ({rel.also(f'{v} IS NULL').sql('1')})")
+            else:
+                tests.append(f"NOT ({v} IS NULL AND EXISTS ({rel.sql('1')}))")
+        return f"({' AND '.join(tests)})"
+
     def any(self, rel: Rel, place: Place) -> str:
         """SQL: does the relation have a row?"""
         return f"EXISTS ({rel.sql('1')})" if place.where else f"(coalesce(({rel.sql('count(1)')}), 0) > 0)"
