@@ -314,7 +314,7 @@ ROW_SCHEMA = """
 
 def _customers(spark: SparkSession, d: str) -> Engine:
     """An engine over an XML document of each customer."""
-    return Engine(spark).nodes(shred.shred(shred.from_rows(_read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")))
+    return Engine(spark).documents(shred.from_rows(_read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey"))
 
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
@@ -324,11 +324,10 @@ def _shredded(spark: SparkSession, d: str) -> DataFrame:
 
 def _axes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes on each axis from the element c_nationkey, over all documents."""
-    engine, out = _customers(spark, d), None
-    for axis in ("child", "descendant", "self", "descendant-or-self", "following-sibling", "following", "parent", "ancestor", "preceding-sibling", "preceding", "ancestor-or-self"):
-        found = engine.query(f"count(//c_nationkey/{axis}::node())").select(F.lit(axis).alias("axis"), F.col("item").alias("n"))
-        out = found if out is None else out.union(found)
-    return out
+    axes = ("child", "descendant", "self", "descendant-or-self", "following-sibling", "following", "parent", "ancestor", "preceding-sibling", "preceding", "ancestor-or-self")
+    counted = _customers(spark, d).query(f"for $d in /self::node() return ({', '.join(f'count($d//c_nationkey/{a}::node())' for a in axes)})", axes)
+    totals = counted.agg(*[F.coalesce(F.sum(f"`{a}`"), F.lit(0)).alias(a) for a in axes])
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"`{a}`").alias("n")) for a in axes])).alias("r")).select("r.*")
 
 
 def _malformed(spark: SparkSession, d: str) -> DataFrame:
