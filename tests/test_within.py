@@ -44,7 +44,7 @@ def test_values_are_those_of_node_tables(engines, text):
     assert found[0] == found[1]
 
 
-@pytest.mark.parametrize("name", ["axes"])
+@pytest.mark.parametrize("name", ["axes", "node_return"])
 def test_registered_queries_exchange_no_documents(spark, tmp_path, name):
     rows = [(1, "A", 3, "X"), (2, "B & b", None, None), (3, "C", 4, "Y")]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
