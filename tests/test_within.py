@@ -3,9 +3,11 @@
 import pytest
 from test_documents import BOOKS, MIXED, NODES, VALUES
 
-from treequill.plans import catalog
+from treequill.plans import catalog, documents, within
 from treequill.plans.engine import Engine
 from treequill.sources import shred
+from treequill.xsd.schema import compile_schema
+from treequill.xsd.validate import Options, Validator, validate
 
 DEEP = "<r xmlns:q='urn:q'><a k='1'><a k='2'>x<b q:k='3'/></a><!--c-->y</a><b/><?p d?><a><b><a/></b></a>z</r>"
 AXES = ("child", "descendant", "self", "descendant-or-self", "following-sibling", "following", "parent", "ancestor", "preceding-sibling", "preceding", "ancestor-or-self", "attribute", "namespace")
@@ -55,3 +57,20 @@ def test_registered_queries_exchange_no_documents(spark, tmp_path, name):
     else:
         assert "Exchange" not in physical(df)
         assert sorted(r.v for r in df.collect()) == ["A|X|4", "B & b||2", "C|Y|4"]
+
+
+def test_assertions_read_a_document_in_one_pass(spark, monkeypatch):
+    schema = compile_schema(documents.XS.format(documents.VALIDATION["xsd_assert"][0]))
+    # As numbers 9 < 10, as texts not; a document's nodes lie in several batches.
+    high = {1: [10], 2: [8], 3: [1, 10], 4: [10, 11, 8], 5: [7, 7, 10]}
+    rows = [(d, "<r><low>9</low>" + "".join(f"<high>{h}</high>" for h in hs) + "</r>") for d, hs in high.items()]
+    plans, rules = [], Validator.assertion_rules
+    monkeypatch.setattr(Validator, "assertion_rules", lambda self, *a: [plans.append(physical(df)) or df for df in rules(self, *a)])
+    monkeypatch.setattr(within, "ROWS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = validate(spark, shred.shred(spark.createDataFrame(rows, "doc_id long, xml string")).cache(), schema, Options(assertions=True)).violations
+        assert sorted((r.doc, r.path, r.message) for r in found.collect()) == [(2, "/r", "low < high[last()]"), (3, "/r", "count(high) != 2"), (4, "/r", "low < high[last()]")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(plans) == 2 and not any("Join" in p or "Exchange" in p for p in plans)

@@ -50,6 +50,8 @@ class Val:
     const: object = None
     #: Of a node of a validated document: SQL of whether its type is a number's.
     numeric: str | None = None
+    #: Of a sequence of such: SQL of an array of structs of each value, v, and whether its type is a number's, n.
+    typed: str | None = None
     #: Of a boolean: SQL that is true where the value is, but may be null where it is false. Joins and pushed filters see its parts.
     bare: str | None = None
 
@@ -107,7 +109,7 @@ def one(v: Val, what: str = "a value") -> Val:
         return v
     name = fresh()
     picked = f"element_at(transform(array({v.sql}), {name} -> case when size({name}) > 1 then {error('XPTY0004', 'more than one item for ' + what)} else try_element_at({name}, 1) end), 1)"
-    return replace(v, sql=picked, seq=False)
+    return replace(v, sql=picked, seq=False, typed=None)
 
 
 def first(v: Val) -> Val:
@@ -153,6 +155,16 @@ def canonical_text(v: Val) -> str:
     return f"if({v.numeric}, coalesce({_decimal_text(number)}, {v.sql}), {v.sql})"
 
 
+def typed_items(sql: str) -> Val:
+    """The values of an array of structs of node values, v, and whether their types are numbers', n."""
+    x = fresh()
+    return Val(f"transform({sql}, {x} -> {canonical_text(_typed(x))})", "untyped", seq=True, node=True, typed=sql)
+
+
+def _typed(x: str) -> Val:
+    return Val(f"{x}.v", "untyped", node=True, numeric=f"{x}.n")
+
+
 def _decimal_text(sql: str) -> str:
     """A decimal without closing zeros."""
     return f"case when {sql} = 0 then '0' else trim(TRAILING '.' FROM trim(TRAILING '0' FROM cast(cast({sql} as decimal(38, 18)) as string))) end"
@@ -461,13 +473,12 @@ def general_compare(op: str, a: Val, b: Val) -> Val:
         bare = _pair(op, a, b)
         return Val(f"coalesce({bare}, false)", "boolean", bare=bare)
     x, y = fresh(), fresh()
-    left = replace(a, sql=x, seq=False) if a.seq else a
-    right = replace(b, sql=y, seq=False) if b.seq else b
+    left, right = (_typed(n) if v.typed else replace(v, sql=n, seq=False) if v.seq else v for v, n in ((a, x), (b, y)))
     body = f"coalesce({_pair(op, left, right)}, false)"
     if b.seq:
-        body = f"exists({b.sql}, {y} -> {body})"
+        body = f"exists({b.typed or b.sql}, {y} -> {body})"
     if a.seq:
-        body = f"exists({a.sql}, {x} -> {body})"
+        body = f"exists({a.typed or a.sql}, {x} -> {body})"
     return boolean(f"coalesce({body}, false)")
 
 

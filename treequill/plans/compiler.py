@@ -23,7 +23,7 @@ from treequill.functions import datetimes, sequences, strings  # noqa: F401  (th
 from treequill.functions.registry import Catalog
 from treequill.functions.values import (
     EMPTY, GENERAL, NUMERIC, OF_XS, SQL_OF, Val, arithmetic, boolean, canonical_text, cast, castable, ebv, error, first, fresh, general_compare, integer, items_of, negative, of_literal, one, string,
-    text_literal, truth, unequal, value_compare, as_text,
+    text_literal, truth, typed_items, unequal, value_compare, as_text,
 )
 from treequill.plans.within import Hop, Within
 from treequill.types import lexical
@@ -285,8 +285,20 @@ class Compiler:
         hops = [self.hop(s) for s in steps]
         if not isinstance(item, Node) or item.alias not in self.within or not hops or any(h is None for h in hops):
             return None
-        sql = f"{item.alias}.{self.within[item.alias].member(what, tuple(hops))}"  # type: ignore[arg-type]
-        return integer(sql) if what == "count" else Val(sql, "untyped", seq=True, node=True)
+        what = "typed" if what == "values" and self.static.typed else what
+        sql = f"{item.alias}.{self.within[item.alias].member(what, tuple(hops))}"
+        return integer(sql) if what == "count" else typed_items(sql) if what == "typed" else Val(sql, "untyped", seq=True, node=True)
+
+    def branches(self, e: A.Expr) -> tuple[tuple[Hop, ...], ...] | None:
+        """The hops of each branch of a union of relative paths; None where a document's nodes don't tell."""
+        if isinstance(e, A.Binary) and e.op in ("union", "|"):
+            left, right = self.branches(e.left), self.branches(e.right)
+            return None if left is None or right is None else left + right
+        if isinstance(e, A.Context):
+            return ((),)
+        steps = self.fused(e.steps) if isinstance(e, A.Path) and not e.absolute else [e]
+        hops = [self.hop(s) for s in steps if not isinstance(s, A.Context)]
+        return None if any(h is None for h in hops) else (tuple(hops),)  # type: ignore[arg-type]
 
     def fused(self, steps: tuple[A.Expr, ...]):
         """``descendant-or-self::node()/child::x`` is ``descendant::x`` where no predicate counts positions."""
@@ -902,7 +914,8 @@ class Compiler:
                     a, b = (Val(sequences.to_number(v).sql, "double") if not v.seq else v for v in (a, b))
             return general_compare(op, a, b)
         if self.within and all(r is None or self.inside(x, place, "values") is not None for r, x in ((left, e.left), (right, e.right))):
-            return general_compare(op, *(self.value(x, replace(place, where=False)) for x in (e.left, e.right)))
+            sides = [self.value(x, replace(place, where=False)) for x in (e.left, e.right)]
+            return general_compare(op, *sides)
         rels = [r for r in (left, right) if r is not None]
         a = self.atom(left) if left is not None else self.value(e.left, replace(place, where=False))
         b = self.atom(right) if right is not None else self.value(e.right, replace(place, where=False))

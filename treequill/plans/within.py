@@ -2,18 +2,22 @@
 
 A document is shredded where it is read and its paths are walked there, so
 nothing is exchanged or broadcast, and only the nodes found come out, with what
-is wanted of the paths below them. A step costs about the nodes it looks at:
-each finds a document's nodes once, in document order. A document that is not
-well-formed has no nodes.
+is wanted of the paths below them. The nodes of a node table are brought
+together by document first: one exchange, however many paths. A step costs about
+the nodes it looks at: each finds a document's nodes once, in document order. As
+in shredding, a worker holds one document. One that is not well-formed has no
+nodes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treequill.plans.lineage import ship
@@ -37,13 +41,18 @@ class Hop:
 
 @dataclass
 class Within:
-    """What is asked of each document: the nodes at the end of ``hops``, and by column the count or the values at the end of more hops from each."""
+    """What is asked of each document: the nodes at the end of ``hops``, and by column the count or the values at the end of more hops from each.
+
+    ``marked``: the nodes of a node table instead whose column of that name is true.
+    """
 
     view: str
-    hops: tuple[Hop, ...]
-    members: dict[tuple[str, tuple[Hop, ...]], str] = field(default_factory=dict)
+    hops: tuple[Hop, ...] = ()
+    members: dict[tuple[str, tuple], str] = field(default_factory=dict)
+    marked: str | None = None
 
-    def member(self, what: str, hops: tuple[Hop, ...]) -> str:
+    def member(self, what: str, hops: tuple) -> str:
+        """``what``: "count", "values", "typed" (values with whether their types are numbers'), or "tuples" (nodes at the end of the first branches, with the typed values of each of the other branches)."""
         return self.members.setdefault((what, hops), f"_m{len(self.members)}")
 
 
@@ -51,7 +60,10 @@ class Tree:
     """The nodes of one document, by number."""
 
     def __init__(self, of: dict[str, list]) -> None:
-        self.kind, self.ns, self.local, self.value, self.parent, self.post = (of[c] for c in ("kind", "ns", "local", "value", "parent", "post"))
+        self.kind, self.ns, self.local, self.value, self.parent, self.post, self.types = (of[c] for c in ("kind", "ns", "local", "value", "parent", "post", "types"))
+        if of["pre"][-1] != len(self.kind) - 1:  # of a part of a node table
+            at = {pre: n for n, pre in enumerate(of["pre"])}
+            self.parent, self.post = [at.get(p) for p in self.parent], [bisect_right(of["pre"], p) - 1 for p in self.post]
         self.inside: list[list[int]] = [[] for _ in self.kind]
         for n, parent in enumerate(self.parent):
             if parent is not None:
@@ -116,47 +128,132 @@ class Tree:
         return [n for n in range(found[-1]) if not leaf[n] and post[n] < found[-1]]
 
 
-def _rows(within: Within, columns: list[str], arrow: pa.Schema):
-    members = [(what, hops, name) for (what, hops), name in within.members.items() if name in columns]
-    plain = [c for c in columns if c in shred.COLUMNS]
+    def either(self, found: list[int], branches: tuple[tuple[Hop, ...], ...]) -> list[int]:
+        if len(branches) == 1:
+            return self.walk(found, branches[0])
+        return sorted({n for hops in branches for n in self.walk(found, hops)})
+
+    def typed(self, found: list[int]) -> list[dict]:
+        return [{"v": self.value[n], "n": not NUMBERS.isdisjoint(self.types[n] or ())} for n in found]
+
+    def member(self, what: str, hops: tuple, n: int) -> object:
+        if what == "tuples":
+            return [{"pre": x, **{f"f{i}": self.typed(self.either([x], f)) for i, f in enumerate(hops[1:])}} for x in self.either([n], hops[0])]
+        found = self.walk([n], hops)
+        return len(found) if what == "count" else self.typed(found) if what == "typed" else [self.value[x] for x in found]
+
+
+NUMBERS = {"decimal", "float", "double"}
+TYPED = "array<struct<v: string, n: boolean>>"
+#: Columns of a node table that walks need.
+NEEDED = ("doc", "pre", "post", "parent", "kind", "ns", "local", "value", "types")
+
+
+def _type(what: str, hops: tuple) -> str:
+    if what == "tuples":
+        return f"array<struct<pre: int{''.join(f', f{i}: {TYPED}' for i in range(len(hops) - 1))}>>"
+    return {"count": "bigint", "values": "array<string>", "typed": TYPED}[what]
+
+
+class _Out:
+    """Rows of what is found, by column."""
+
+    def __init__(self, within: Within, arrow: pa.Schema) -> None:
+        self.within, self.arrow = within, arrow
+        self.members = [(what, hops, name) for (what, hops), name in within.members.items() if name in arrow.names]
+        self.plain = [c for c in arrow.names if c in shred.COLUMNS]
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[str, list] = {c: [] for c in self.arrow.names}
+
+    def add(self, nodes: dict[str, list]) -> None:
+        if nodes["kind"][0] == "error":
+            return
+        tree = Tree(nodes)
+        if self.within.marked is None:
+            found = tree.walk([n for n in (0,) if tree.kind[n] == "document"], self.within.hops)
+        else:
+            found = [n for n, mark in enumerate(nodes[self.within.marked]) if mark]
+        for c in self.plain:
+            values = nodes[c]
+            self.of[c] += [values[n] for n in found]
+        for what, hops, name in self.members:
+            self.of[name] += [tree.member(what, hops, n) for n in found]
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.of[f.name], f.type) for f in self.arrow], schema=self.arrow)
+        self.clear()
+        return out
 
-    def batch_of(out: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+def _of_texts(within: Within, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out(within, arrow)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in columns}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes = shred._Columns()
                 try:
                     shred.shred_into(nodes, doc, shred.decode(text) if isinstance(text, bytes) else text)
                 except (shred.NotWellFormed, UnicodeDecodeError):
                     continue
-                if nodes.of["kind"][0] == "error":
-                    continue
-                tree = Tree(nodes.of)
-                found = tree.walk([0], within.hops)
-                for c in plain:
-                    values = nodes.of[c]
-                    out[c] += [values[n] for n in found]
-                for what, hops, name in members:
-                    below = [tree.walk([n], hops) for n in found]
-                    out[name] += [len(b) for b in below] if what == "count" else [[tree.value[n] for n in b] for b in below]
-                if len(out["doc"]) > ROWS:
-                    yield batch_of(out)
-                    out = {c: [] for c in columns}
-            yield batch_of(out)
+                out.add(nodes.of)
+                if len(out.of["doc"]) > ROWS:
+                    yield out.batch()
+            yield out.batch()
+
+    return run
+
+
+def _of_nodes(within: Within, arrow: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rest = _Out(within, arrow), None
+        for batch in batches:
+            names, columns = batch.schema.names, [c.to_pylist() for c in batch.columns]
+            docs, start = columns[names.index("doc")], 0
+            while start < len(docs):
+                end = start
+                while end < len(docs) and docs[end] == docs[start]:
+                    end += 1
+                part = {c: values[start:end] for c, values in zip(names, columns, strict=True)}
+                if rest is not None and rest["doc"][0] == docs[start]:
+                    for c, values in rest.items():
+                        values += part[c]
+                else:
+                    if rest is not None:
+                        out.add(rest)
+                    rest = part
+                start = end
+            if len(out.of["doc"]) > ROWS:
+                yield out.batch()
+        if rest is not None:
+            out.add(rest)
+        yield out.batch()
 
     return run
 
 
+def _schema(doc: T.DataType, within: Within, columns: set[str]) -> T.StructType:
+    members = [f"{name} {_type(what, hops)}" for (what, hops), name in within.members.items()]
+    fields = T._parse_datatype_string(", ".join([shred.SCHEMA.format(doc=doc.simpleString()), *members])).fields
+    return T.StructType([f for f in fields if f.name == "doc" or f.name in columns])
+
+
 def found(docs: DataFrame, within: Within, columns: set[str]) -> DataFrame:
     """The node rows that ``within`` asks of documents (doc, text), of the columns named and ``doc``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(docs.sparkSession)
-    kinds = {"count": T.LongType(), "values": T.ArrayType(T.StringType())}
-    fields = list(T._parse_datatype_string(shred.SCHEMA.format(doc=docs.schema.fields[0].dataType.simpleString())))
-    fields += [T.StructField(name, kinds[what]) for (what, _), name in within.members.items()]
-    schema = T.StructType([f for f in fields if f.name == "doc" or f.name in columns])
-    return docs.mapInArrow(_rows(within, schema.names, to_arrow_schema(schema)), schema)
+    schema = _schema(docs.schema.fields[0].dataType, within, columns)
+    return docs.mapInArrow(_of_texts(within, to_arrow_schema(schema)), schema)
+
+
+def found_in(nodes: DataFrame, within: Within, columns: set[str]) -> DataFrame:
+    """The same of a node table."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(nodes.sparkSession)
+    schema = _schema(nodes.schema["doc"].dataType, within, columns)
+    wanted = dict.fromkeys([*NEEDED, *(c for c in schema.names if c in shred.COLUMNS), *([within.marked] if within.marked else [])])
+    together = nodes.where(F.col("doc").isNotNull()).select(*wanted).repartition("doc").sortWithinPartitions("doc", "pre")
+    return together.mapInArrow(_of_nodes(within, to_arrow_schema(schema)), schema)

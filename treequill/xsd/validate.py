@@ -8,6 +8,7 @@ over the typed elements; a rule that fails gives a row of code and place.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from treequill.operators import facets, identity
 from treequill.operators.facets import Simple
 from treequill.plans.compiler import Compiler, Node, Place, Rel, Static
 from treequill.plans.lineage import cut
+from treequill.plans.within import Within, found_in
 from treequill.sources.shred import XML, XSI
 from treequill.types.regex import literal
 from treequill.xpath import ast as A
@@ -220,7 +222,7 @@ class Validator:
         if identity_:
             found += self.identity_rules(valued, typed)
         if assertions:
-            found += self.assertion_rules(valued, typed)
+            found += self.assertion_rules(valued)
         violations = found[0]
         for f in found[1:]:
             violations = violations.unionByName(f)
@@ -346,15 +348,15 @@ class Validator:
         return found.select("doc", "pre", F.lit("").alias("path"), F.lit(None).cast("int").alias("line"), "code", "message")
 
     def with_types(self, nodes: DataFrame, typed: DataFrame) -> DataFrame:
-        """The node table with the types of elements' and attributes' values, by which assertions and identity constraints compare."""
+        """The node table with the types of elements' and attributes' values, by which assertions and identity constraints compare, and in ``_of`` the numbers of elements' types."""
         chain = lambda t: list(t.ancestors) if isinstance(t, Simple) else []
         names = self.small([(i, chain(simple_of(t))) for i, t in enumerate(self.types) if simple_of(t) is not None], "_t int, _types array<string>")
         owners = typed.where("type_id is not null").select(F.col("doc").alias("_d"), F.col("pre").alias("_p"), "type_id")
         own = nodes.where("kind = 'attribute'").select("doc", "parent", "pre", "ns", "local").join(owners, (F.col("doc") == F.col("_d")) & (F.col("parent") == F.col("_p")))
         own = own.join(self.attribute_uses(), (F.col("type_id") == F.col("a_type")) & (F.col("ns") == F.col("a_ns")) & (F.col("local") == F.col("a_local")))
-        every = owners.select("_d", "_p", "type_id").union(own.select("doc", "pre", "a_simple")).join(names, F.col("type_id") == F.col("_t")).select("_d", "_p", "_types")
+        every = owners.select("_d", "_p", "type_id", F.col("type_id").alias("_of")).union(own.select("doc", "pre", "a_simple", F.lit(None).cast("int"))).join(names, F.col("type_id") == F.col("_t"), "left").select("_d", "_p", "_types", "_of")
         met = nodes.join(every, (F.col("doc") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
-        return cut(met.withColumn("types", F.coalesce("_types", "types")).select(*nodes.columns))
+        return cut(met.withColumn("types", F.coalesce("_types", "types")).select(*nodes.columns, "_of"))
 
     def static(self, nodes: DataFrame, scope: dict[str, str], default: str = "") -> Static:
         view = fresh("tq_valid")
@@ -375,22 +377,23 @@ class Validator:
             out.append(found.select("doc", "pre", F.lit(f"//{e.name[1]}").alias("path"), F.lit(None).cast("int").alias("line"), "code", "message"))
         return out
 
-    def assertion_rules(self, nodes: DataFrame, typed: DataFrame) -> list[DataFrame]:
-        """Assertions in the context of each element of their type: those of one type are one query."""
+    def assertion_rules(self, nodes: DataFrame) -> list[DataFrame]:
+        """Assertions in the context of each element of their type: those of one type read its elements in one pass over each document."""
         out = []
         for i, t in enumerate(self.types):
             if not isinstance(t, Complex) or not t.assertions:
                 continue
-            own = fresh("tq_asserted")
-            typed.where(F.col("type_id") == i).select("doc", "pre", "path", "line").createOrReplaceTempView(own)
+            asked, sqls, read = Within(fresh("tq_asserted"), marked="_marked"), [], {"pre", "path", "line"}
             for test, scope in t.assertions:
                 static = self.static(nodes, scope, scope.get("", ""))
-                compiler, alias, row = Compiler(static), fresh("n"), fresh("t")
-                rel = Rel((f"`{static.nodes}` {alias}", f"`{own}` {row}"), (f"{alias}.doc = {row}.doc", f"{alias}.pre = {row}.pre"), Node(alias))
+                compiler, alias = Compiler(static), fresh("n")
+                compiler.within[alias] = asked
                 place = Place(static, item=Node(alias), vars={"value": Node(alias)}, where=True)
-                rel, value = compiler.with_beside(rel, lambda compiler=compiler, place=place, test=test: compiler.value(parse(test), place))  # type: ignore[misc]
-                sql = rel.also(f"NOT ({ebv(value)})").sql(f"{row}.doc, {row}.pre, {row}.path, {row}.line, 'cvc-assertion' AS code, {text_literal(test)} AS message")
-                out.append(self.spark.sql(sql))
+                rel, value = compiler.with_beside(Rel((f"`{asked.view}` {alias}",), (), Node(alias)), lambda compiler=compiler, place=place, test=test: compiler.value(parse(test), place))  # type: ignore[misc]
+                sqls.append(rel.also(f"NOT ({ebv(value)})").sql(f"{alias}.doc, {alias}.pre, {alias}.path, {alias}.line, 'cvc-assertion' AS code, {text_literal(test)} AS message"))
+                read |= set(re.findall(rf"\b{alias}\.(\w+)", sqls[-1]))
+            cut(found_in(nodes.withColumn("_marked", F.col("_of").eqNullSafe(i)), asked, read)).createOrReplaceTempView(asked.view)
+            out += [self.spark.sql(sql) for sql in sqls]
         return out
 
 
