@@ -1,9 +1,12 @@
 """Paths that are walked where a document is read: what node tables find, and plans without exchanges."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_documents import BOOKS, MIXED, NODES, VALUES
 
+from treequill.operators import identity
 from treequill.plans import catalog, documents, within
+from treequill.plans.compiler import Static
 from treequill.plans.engine import Engine
 from treequill.sources import shred
 from treequill.xsd.schema import compile_schema
@@ -59,6 +62,19 @@ def test_registered_queries_exchange_no_documents(spark, tmp_path, name):
         assert sorted(r.v for r in df.collect()) == ["A|X|4", "B & b||2", "C|Y|4"]
 
 
+def test_constraints_read_a_document_in_one_pass(spark):
+    rows = [(1, "<r><i k='1' to='1'/><j k='2'/></r>"), (2, "<r><i k='1'/><j k='01'/></r>"), (3, "<r><i to='3'/></r>"), (4, "<r/>"), (5, "<r><i></r>")]
+    nodes = shred.shred(spark.createDataFrame(rows, "doc_id long, xml string")).withColumn("types", F.when(F.col("kind") == "attribute", F.array(F.lit("int"), F.lit("decimal"))))
+    nodes.createOrReplaceTempView("tq_within_test")
+    static = Static(nodes="tq_within_test", typed=True)
+    constraints = [identity.Constraint("key", "k", "//r", "i | j", ("@k",)), identity.Constraint("keyref", "ref", "//r", ".//i", ("@to",), "k")]
+    read = identity.tuples(spark, static, constraints)
+    assert all("Join" not in physical(df) and "Exchange" not in physical(df) for df in read)
+    assert sorted((r.doc, r.f0 or "") for r in read[0].collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "1"), (3, "")]
+    found = sorted((r.doc, r.code) for r in identity.violations(spark, static, constraints).collect())
+    assert found == [(2, identity.DUPLICATE), (3, identity.INCOMPLETE), (3, identity.MISSING)]
+
+
 def test_assertions_read_a_document_in_one_pass(spark, monkeypatch):
     schema = compile_schema(documents.XS.format(documents.VALIDATION["xsd_assert"][0]))
     # As numbers 9 < 10, as texts not; a document's nodes lie in several batches.
