@@ -314,7 +314,7 @@ ROW_SCHEMA = """
 
 def _customers(spark: SparkSession, d: str) -> Engine:
     """An engine over an XML document of each customer."""
-    return Engine(spark).documents(shred.from_rows(_read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey"))
+    return Engine(spark).documents(shred.from_rows(lineage.spread(_read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")), "c_custkey"))
 
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:

@@ -100,7 +100,8 @@ COMPOSED = {
 
 
 def _parts(spark: SparkSession, folder: str, xml: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.expr(xml).alias("xml"))
+    rows = lineage.spread(spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_brand", "p_size"))
+    return rows.select(F.col("p_partkey").alias("doc_id"), F.expr(xml).alias("xml"))
 
 
 def _validated(schema: str, xml: str, options: Options | None, loader: dict | None = None):

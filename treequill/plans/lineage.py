@@ -27,6 +27,12 @@ def ship(spark: SparkSession) -> None:
     sc._treequill_shipped = True  # type: ignore[attr-defined]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores at least. For a few files of rows that cost more to parse than to exchange; not for plans with exchanges, which this would run."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder of spark.checkpoint.dir, or one below the warehouse where that is unset."""
     spark = df.sparkSession
